@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +43,7 @@ def byte_rows(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Split a batch so that no piece's column exceeds ``most`` bytes, but for single rows."""
-    import numpy as np
-
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.binary())), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0), dtype=np.int64)
     start, ends = 0, np.cumsum(lengths)
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
