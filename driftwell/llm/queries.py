@@ -6,6 +6,7 @@ from driftwell.llm.mixing import op10_mix
 from driftwell.llm.packing import op7_packing
 from driftwell.llm.quality_rules import op3_quality_rules
 from driftwell.llm.simhash import op8_simhash
+from driftwell.llm.suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op10_mix": op10_mix}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op10_mix": op10_mix}
 ORACLES: dict[str, str] = {}
