@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from driftwell.llm import warc
 from driftwell.llm.mixing import op10_mix
 from driftwell.llm.packing import op7_packing
 from driftwell.llm.quality_rules import op3_quality_rules
 from driftwell.llm.simhash import op8_simhash
 from driftwell.llm.suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op10_mix": op10_mix}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op5_warc": warc.op5_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash, "op10_mix": op10_mix}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
