@@ -6,14 +6,19 @@ Rows are (date, path, embedding), one a note and session; everything is a window
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftwell.functions.voice import season
 from driftwell.operators.knn import cosine, norm
 
-BY_NOTE = Window.partitionBy("path").orderBy("date")
-WHOLE = Window.partitionBy("path").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def by_note() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("date")
+
+
+def whole_note() -> WindowSpec:
+    return by_note().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def as_of(sessions: DataFrame, date: str, spare_days: int | None = None) -> DataFrame:
@@ -54,7 +59,7 @@ def aligned(v: DataFrame, towards: Column, least: float = 0.5) -> DataFrame:
 
 def windowed_rates(v: DataFrame, width: int = 3) -> DataFrame:
     """(path, date, rate): drift over each window of ``width`` sessions, dated by its start."""
-    later = F.lead("embedding", width - 1).over(BY_NOTE)
+    later = F.lead("embedding", width - 1).over(by_note())
     return v.withColumn("__l", later).where("__l IS NOT NULL").select("path", "date", (1 - cosine(F.col("embedding"), F.col("__l"))).alias("rate"))
 
 
@@ -70,7 +75,7 @@ def halves(n: Column, position: Column) -> Column:
 
 def early_late(v: DataFrame) -> DataFrame:
     """(path, early, late): mean similarity to the last vector in each half; 0 with fewer than four sessions."""
-    d = v.withColumn("__c", F.last("embedding").over(WHOLE)).withColumn("__n", F.count("*").over(WHOLE)).withColumn("__k", F.row_number().over(BY_NOTE))
+    d = v.withColumn("__c", F.last("embedding").over(whole_note())).withColumn("__n", F.count("*").over(whole_note())).withColumn("__k", F.row_number().over(by_note()))
     sim = cosine(F.col("embedding"), F.col("__c"))
     half = halves(F.col("__n"), F.col("__k"))
     out = d.groupBy("path").agg(F.max("__n").alias("n"), F.avg(F.when(half == "early", sim)).alias("e"), F.avg(F.when(half == "late", sim)).alias("l"))
@@ -94,15 +99,15 @@ def pair_trends(pairs: DataFrame, v: DataFrame, least: int = 3) -> DataFrame:
 
 def cycles(v: DataFrame, least: int = 2, near: float = 0.7) -> DataFrame:
     """(path, n, cycles): returns to the first state; a state is near if its cosine to the first exceeds ``near``."""
-    d = v.withColumn("__f", F.first("embedding").over(WHOLE)).withColumn("__s", cosine(F.col("embedding"), F.col("__f")) > near)
-    back = F.col("__s") & ~F.lag("__s").over(BY_NOTE)
+    d = v.withColumn("__f", F.first("embedding").over(whole_note())).withColumn("__s", cosine(F.col("embedding"), F.col("__f")) > near)
+    back = F.col("__s") & ~F.lag("__s").over(by_note())
     out = d.withColumn("__b", back).groupBy("path").agg(F.count("*").alias("n"), F.count_if("__b").alias("cycles"))
     return out.where((F.col("cycles") >= least) & (F.col("n") >= 2 * least + 1))
 
 
 def session_drift(v: DataFrame) -> DataFrame:
     """(path, drift) between a note's last two sessions."""
-    d = v.withColumn("__p", F.lag("embedding").over(BY_NOTE)).groupBy("path").agg(F.max_by("embedding", "date").alias("e"), F.max_by("__p", "date").alias("p"))
+    d = v.withColumn("__p", F.lag("embedding").over(by_note())).groupBy("path").agg(F.max_by("embedding", "date").alias("e"), F.max_by("__p", "date").alias("p"))
     return d.where("p IS NOT NULL").select("path", (1 - cosine(F.col("e"), F.col("p"))).alias("drift"))
 
 
