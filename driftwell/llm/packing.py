@@ -24,8 +24,8 @@ from driftwell.storage import stash
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH = 4, 10
 #: Entries that each of the two generations of a worker's table of known words may have.
-KNOWN = 250_000
-PIECE = 1 << 20
+KNOWN = 300_000
+PIECE = 2 << 20
 
 
 def _renewed(keys: set, young: dict, old: dict) -> tuple[list, dict, dict]:
@@ -118,9 +118,28 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+#: Signs that are added before a dimension's 16 bits may overflow.
+LANE = 60_000
+
+
 def directions(vocabulary: int, dimensions: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
-    """A random sign in each dimension for every id."""
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (vocabulary, dimensions))
+    """A random sign in each dimension for every id: bit 0 of a 16-bit lane of its own."""
+    bits = np.random.default_rng(seed).integers(0, 2, (vocabulary, dimensions), dtype=np.uint64)
+    return (bits << (np.uint64(16) * np.arange(dimensions, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def projected(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean sign of each run of ``sizes`` ids in every dimension; zero for an empty one. ``flat`` has the ids' signs."""
+    some = np.flatnonzero(sizes)
+    out = np.zeros((len(sizes), DIMENSIONS), np.float32)
+    if len(some):
+        parts = -(-sizes[some] // LANE)
+        begin = np.repeat((np.cumsum(sizes) - sizes)[some], parts)
+        first = np.cumsum(parts) - parts
+        cuts = begin + LANE * (np.arange(len(begin)) - np.repeat(first, parts))
+        ones = np.add.reduceat(flat, cuts).view("<u2").reshape(-1, 4)[:, :DIMENSIONS].astype(np.int64)
+        out[some] = 2 * np.add.reduceat(ones, first, axis=0) / sizes[some][:, None] - 1
+    return out
 
 
 def hilbert(cells: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -159,11 +178,7 @@ def tokenized(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
             for part in pieces(batch, 1, PIECE):
                 ids = [x + tail for x in enc.encode(byte_rows(part.column(1)))]
                 n = np.array([len(x) // enc.kind.itemsize for x in ids], np.int64)
-                flat = signs[np.frombuffer(b"".join(ids), enc.kind)]
-                some = np.flatnonzero(n)
-                point = np.zeros((len(ids), DIMENSIONS), np.float32)
-                if len(some):
-                    point[some] = np.add.reduceat(flat, (np.cumsum(n) - n)[some], axis=0) / n[some][:, None]
+                point = projected(signs[np.frombuffer(b"".join(ids), enc.kind)], n)
                 tie = (np.arange(row, row + len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(tie), *map(pa.array, point.T.copy())], names=["doc_id", "ids", "tokens", "tie", *(f"p{k}" for k in range(DIMENSIONS))])
