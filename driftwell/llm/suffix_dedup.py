@@ -151,19 +151,24 @@ def by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def earliest(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The rank of each place: by document, null ids last, then start."""
+    """The rank of each place: by document, null ids last, then start. Equal places, of repeated rows, rank alike."""
     order = np.lexsort((start, digest, doc))
+    new = np.zeros(len(order), np.int64)
+    for x in (doc[order], digest[order], start[order]):
+        new[1:] |= x[1:] != x[:-1]
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank[order] = np.cumsum(new)
     return rank
 
 
 def repeats(anchor: np.ndarray, digest: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """True for all but the earliest of equal contexts."""
+    """True for those of equal contexts that do not stand in the earliest place."""
     order = np.lexsort((rank, digest, anchor))
-    again = np.append(False, (anchor[order][1:] == anchor[order][:-1]) & (digest[order][1:] == digest[order][:-1])) if len(order) else np.zeros(0, bool)
+    a, d, r = anchor[order], digest[order], rank[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]))[: len(order)]
+    least = r[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else r
     out = np.zeros(len(order), bool)
-    out[order] = again
+    out[order] = r != least
     return out
 
 
