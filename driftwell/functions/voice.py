@@ -87,7 +87,9 @@ def voice(df: DataFrame, content: str = "content") -> DataFrame:
     ns = F.size(s)
     mean = ratio(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), ns)
     d = d.withColumn("__m", mean).withColumn("__ns", ns)
-    spread = ratio(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))), F.col("__ns"))
+    # from sums, so that no lambda holds an expression over the whole text
+    squares = ratio(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x), F.col("__ns"))
+    spread = F.greatest(F.lit(0.0), squares - F.col("__m") * F.col("__m"))
     past, future, present = (ratio(F.col(c), v) for c in ("__p", "__f", "__r"))
     per100 = lambda c: ratio(100 * c, n)
     measures = {
