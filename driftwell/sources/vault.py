@@ -26,7 +26,7 @@ class JournalRules:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, file_mtime, modified) of every Markdown file below ``root``, one row a file."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     base = root.rstrip("/").rsplit("/", 1)[-1]
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     # the part below the root's own folder
