@@ -35,9 +35,11 @@ def cosine(a: Column, b: Column) -> Column:
 def _matrix(table: pa.Table, side: int) -> tuple[list, np.ndarray]:
     t = table.filter(pc.equal(table["side"], side))
     paths = t["path"].to_pylist()
+    if not paths:
+        return [], np.zeros((0, 0))
     x = np.array(t["embedding"].to_pylist(), np.float64).reshape(len(paths), -1)
-    n = np.linalg.norm(x, axis=1, keepdims=True) if len(paths) else x
-    return paths, x / np.where(n == 0, 1, n) if len(paths) else x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return paths, x / np.where(n == 0, 1, n)
 
 
 def blocked(rows: DataFrame, columns: DataFrame, count: int | None = None, block: int = BLOCK) -> DataFrame:
