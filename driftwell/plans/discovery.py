@@ -17,6 +17,7 @@ from driftwell.operators import knn as K
 from driftwell.operators import links as L
 from driftwell.operators import sessions as T
 from driftwell.plans.registry import Corpus, query
+from driftwell.storage import stash
 
 # ruff: noqa: D103
 SESSION = "2024-07-01"
@@ -428,7 +429,10 @@ def pattern_finder(c: Corpus) -> DataFrame:
 
 
 def voiced(c: Corpus) -> DataFrame:
-    return V.voice(c.own_notes.select("path", "content")).select("path", "voice.*")
+    """(path, measures of voice), written once for a corpus: filters must not compute the measures again."""
+    if "voiced" not in c.__dict__:
+        c.__dict__["voiced"] = stash(V.voice(c.own_notes.select("path", "content")).select("path", "voice.*"), "voice")
+    return c.__dict__["voiced"]
 
 
 @query()
