@@ -145,3 +145,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdict(measured)
     p = lambda x: F.col(PREFIX + x).alias(x)
     return out.select("doc_id", p("n_words"), F.col(f"{PREFIX}chars").alias("word_chars"), F.col(f"{PREFIX}symbols").alias("n_symbols"), p("n_dup_lines"), p("n_repeat_words"), p("base_failed"), p("kept"))
+
+
+def _oracle() -> str:
+    least = " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATIOS.items())
+    level = lambda name, keys: f"{name} AS (SELECT {keys}ratio, q1 - {REACH} * greatest(q3 - q1, s) AS low, q3 + {REACH} * greatest(q3 - q1, s) AS high, n FROM (SELECT {keys}ratio, CASE ratio {least} END AS s, min(bucket) FILTER (4 * cum >= n) AS q1, min(bucket) FILTER (4 * cum >= 3 * n) AS q3, max(n) AS n FROM (SELECT *, sum(k) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS cum, sum(k) OVER (PARTITION BY {keys}ratio) AS n FROM (SELECT {keys}ratio, bucket, count(*) AS k FROM b GROUP BY ALL)) GROUP BY {keys}ratio))"
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w))),
+r AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE k > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS capitals FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS ratio, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN capitals * 1000 // word_chars ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END]) AS x FROM f),
+b AS (SELECT lang, source, ratio, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket FROM v WHERE NOT base_failed),
+{level("a1", "lang, source, ")}, {level("a2", "lang, ")}, {level("a3", "")},
+j AS (SELECT v.doc_id, bool_and(coalesce(x >= coalesce(a1.low, a2.low, a3.low) AND x <= coalesce(a1.high, a2.high, a3.high), TRUE)) AS inside FROM v
+  LEFT JOIN a1 ON a1.n >= {LEAST} AND a1.lang IS NOT DISTINCT FROM v.lang AND a1.source IS NOT DISTINCT FROM v.source AND a1.ratio = v.ratio
+  LEFT JOIN a2 ON a2.n >= {LEAST} AND a2.lang IS NOT DISTINCT FROM v.lang AND a2.ratio = v.ratio LEFT JOIN a3 ON a3.ratio = v.ratio GROUP BY v.doc_id)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM f JOIN j ON f.doc_id = j.doc_id
+"""
+
+
+#: The same rows as DuckDB SQL.
+ORACLE = _oracle()

@@ -9,6 +9,7 @@ from driftwell.llm.media import op9_media
 from driftwell.llm.mixing import op10_mix
 from driftwell.llm.packing import op7_packing
 from driftwell.llm.quality_model import op6_quality_model
+from driftwell.llm.quality_rules import ORACLE as QUALITY_RULES
 from driftwell.llm.quality_rules import op3_quality_rules
 from driftwell.llm.simhash import op8_simhash
 from driftwell.llm.suffix_dedup import op2_suffix_dedup
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_mix": op10_mix,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY_RULES, "op5_warc": warc.ORACLE}
