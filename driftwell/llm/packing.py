@@ -24,7 +24,7 @@ from driftwell.storage import stash
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH = 4, 10
 #: Entries that each of the two generations of a worker's table of known words may have.
-KNOWN = 300_000
+KNOWN = 150_000
 PIECE = 2 << 20
 
 
@@ -62,7 +62,7 @@ class WordEncoder:
         cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         ending = spec["model"].get("end_of_word_suffix")
         if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and ending:
-            self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+            self.cut = regex.compile(cuts[0]["pattern"]["Regex"] + r"|\n").findall
             self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for piece, k in self.bare.get_vocab().items():
@@ -70,7 +70,7 @@ class WordEncoder:
             # printable bytes stand for themselves, the others follow in order from 256 on: the byte-level alphabet
             shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))}
-            self.plain = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u017E]+").fullmatch
+            self.plain = regex.compile(r"[\n!-~\u00A1-\u012F\u0131-\u017E]+").fullmatch
 
     def _pieces(self, new: list[str]) -> None:
         """Add ids of pieces that are not known yet."""
@@ -85,19 +85,26 @@ class WordEncoder:
                 self.parts[w] = raw[size * a : size * b]
 
     def _add(self, new: list[bytes]) -> None:
-        whole, cut = [], {}
-        for w in new:
-            t = w.decode("utf-8", "replace")
-            if self.plain and self.plain(t) and "<|" not in t:
-                cut[w] = self.cut(t.lower())
+        """Add ids of words that are not known yet."""
+        plain = []
+        if self.plain and new:
+            text = b"\n".join(new).decode("utf-8", "replace")
+            if self.plain(text) and "<|" not in text:
+                new, plain = [], new
             else:
-                whole.append(w)
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False), strict=True):
+                fits = [bool(self.plain(t)) and "<|" not in t for t in text.split("\n")]
+                new, plain = ([w for w, f in zip(new, fits, strict=True) if f is kind] for kind in (False, True))
+                text = b"\n".join(plain).decode()
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.kind).tobytes()
-        pieces_, self.parts, self.old_parts = _renewed({p for ps in cut.values() for p in ps}, self.parts, self.old_parts)
-        self._pieces(pieces_)
-        part = self.parts.__getitem__
-        self.known.update((w, b"".join(map(part, ps))) for w, ps in cut.items())
+        if plain:
+            # a line a word, cut in one go; pieces hold neither a line end nor the mark between them
+            cut = self.cut(text.lower())
+            missing, self.parts, self.old_parts = _renewed(set(cut).difference("\n"), self.parts, self.old_parts)
+            self._pieces(missing)
+            part = self.parts
+            lines = "\0".join(cut).split("\0\n\0")
+            self.known.update((w, b"".join([part[p] for p in line.split("\0")]) if "\0" in line else part[line]) for w, line in zip(plain, lines, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, without special tokens."""
