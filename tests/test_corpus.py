@@ -195,3 +195,30 @@ def test_entry_names_match():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ready_grammars():
+    from driftwell.plans.grammars import READY, ready
+
+    def any_function(*args):
+        return ["[[A]]|||[[B]], [[C]]"]
+
+    names = "random_note_title hubs sample_notes orphans questioning_notes semantic_clusters past_focused_notes future_focused_notes surprising_notes".split()
+    for name in READY:
+        g = ready(name)
+        out = g.suggest(dict.fromkeys(names, any_function), 3)
+        assert len(out) == g.count and all("#" not in t for t, _ in out)
+
+
+def test_report_and_session(spark):
+    from driftwell.plans.registry import Corpus
+    from driftwell.plans.report import statistics
+    from driftwell.plans.session import Status, functions, invoke
+
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    s = statistics(c)
+    assert s["notes"] == 200 and s["recommendations"] and s["sessions"] == 6
+    status = Status()
+    out = invoke(c, ["stub_expander", "task_archaeology"], status=status, full=True, timeout=120)
+    assert set(status.failures.values()) == {0} and out.count() > 0
+    assert functions(c)["hubs"](2)[0].startswith("[[Doc ")
