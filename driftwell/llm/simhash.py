@@ -33,8 +33,8 @@ SHARD, LEAF = 6_000, 1_500
 PLANE = np.uint64(0x0101010101010101)
 
 
-def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The unsigned fingerprint of each text: a bit is set if over half of the shingles' hashes have it."""
+def shingle_hashes(texts: list[bytes], width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' shingles in order, and the number of each text's; one shingle if it has fewer words."""
     joined, counts = [], []
     for t in texts:
         words = t.lower().split()
@@ -42,20 +42,28 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) ->
         if words:
             joined.append(b" ".join(words))
     n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
     if not joined:
-        return out
+        return np.zeros(0, np.uint64), n
     buffer = b" ".join(joined)
     ends = np.append(np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32), len(buffer))
     starts = np.append(0, ends[:-1] + 1)
     first = np.append(0, np.cumsum(n)[:-1])
     shingles = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
-    with_any = np.flatnonzero(shingles)
     begin = np.append(0, np.cumsum(shingles)[:-1])
     # word index at which each shingle starts, and ends
     s = np.arange(int(shingles.sum())) - np.repeat(begin, shingles) + np.repeat(first, shingles)
     e = s + np.repeat(np.minimum(n, width), shingles) - 1
-    h = xxh64_ranges(buffer, starts[s], ends[e] - starts[s], seed)
+    return xxh64_ranges(buffer, starts[s], ends[e] - starts[s], seed), shingles
+
+
+def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The unsigned fingerprint of each text: a bit is set if over half of the shingles' hashes have it."""
+    h, shingles = shingle_hashes(texts, width, seed)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(h):
+        return out
+    with_any = np.flatnonzero(shingles)
+    begin = np.append(0, np.cumsum(shingles)[:-1])
     # bytes of a word each count one bit; 255 at most are added before they are spread out
     cuts = np.concatenate([np.arange(b, b + c, 255) for b, c in zip(begin[with_any].tolist(), shingles[with_any].tolist(), strict=True)])
     owner = np.repeat(np.arange(len(with_any)), -(-shingles[with_any] // 255))
