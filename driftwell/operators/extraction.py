@@ -28,15 +28,15 @@ def _unique(found: DataFrame, shortest: int, longest: int, extra: Column | None
     return d.groupBy("path", F.lower("item").alias("k")).agg(F.min(F.struct("position", "item")).alias("m")).select("path", "m.position", "m.item")
 
 
-def _matches(notes: DataFrame, patterns: tuple[str, ...], group: int = 0, shown=None) -> DataFrame:  # noqa: ANN001
+def _matches(notes: DataFrame, patterns: tuple[str, ...], groups: tuple[int, ...] | None = None, shown=None) -> DataFrame:  # noqa: ANN001
     text = M.without_code(F.col("content"))
-    arrays = [F.regexp_extract_all(text, F.lit(p), F.lit(group)) for p in patterns]
+    arrays = [F.regexp_extract_all(text, F.lit(p), F.lit(k)) for p, k in zip(patterns, groups or (0,) * len(patterns), strict=True)]
     found = F.flatten(F.array(*arrays))
     return notes.select("path", F.posexplode(found if shown is None else F.transform(found, shown)).alias("position", "item"))
 
 
 def questions(notes: DataFrame, shortest: int = 10, longest: int = 500) -> DataFrame:
-    return _unique(_matches(notes, QUESTIONS[:1]), shortest, longest)
+    return _unique(_matches(notes, QUESTIONS, (0, 1)), shortest, longest)
 
 
 def definitions(notes: DataFrame, shortest: int = 15, longest: int = 300) -> DataFrame:
