@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Nodes without an edge to another node are not in the result. Each round costs two aggregations whose joins AQE can
     split where a node is hot, and is written to the shared folder, so plans stay short and a lost executor costs a round
-    at most. The number of rounds grows with the logarithm of the longest path.
+    at most. The number of rounds grows with the logarithm of the longest path;
+    beyond ``most_rounds`` it raises.
     """
     now = stash(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -38,4 +39,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components have not converged after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
