@@ -9,11 +9,14 @@ cut into sequences of powers of two, so no id is padding.
 from __future__ import annotations
 
 import json
+import math
 import os
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,105 +26,217 @@ from driftwell.storage import stash
 
 LENGTH, END = 2048, 1
 DIMENSIONS, DEPTH = 4, 10
-#: Entries that each of the two generations of a worker's table of known words may have.
-KNOWN = 150_000
-PIECE = 2 << 20
+#: Bytes of text handled at once, and ids that a partition of the curve should hold.
+PIECE, SHARE = 2 << 20, 16 << 20
+#: A worker's table of known pieces: slots, longest piece in bytes, and ids held before the table starts anew.
+SLOTS, LONGEST, ARENA = 1 << 21, 24, 8 << 20
 
+#: What the fast way takes for granted of a tokenizer file; any other file goes through the whole tokenizer, text by text.
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
-def _renewed(keys: set, young: dict, old: dict) -> tuple[list, dict, dict]:
-    """Keys that neither generation has, and the generations: keys of the old one move up, a full young one grows old."""
-    if len(young) > KNOWN:
-        young, old = {}, young
-    missing = keys.difference(young)
-    back = missing.intersection(old)
-    young.update(zip(back, map(old.__getitem__, back), strict=True))
-    return list(missing.difference(back)), young, old
+#: Characters that are cut and lower-cased here; a word with any other goes whole through the tokenizer.
+PLAIN = [c for c in range(0x21, 0x17F) if not 0x7F <= c <= 0xA0 and c not in (0x27, 0x130)]
+WHITE, LETTER, NUMBER, OTHER, WHOLE = range(5)
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer whose pieces never span ASCII white space, so equal words have equal ids.
+def _kind(c: int) -> int:
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
 
-    Words between white space are encoded once and looked up after that. A word of plain Latin letters, digits and signs
-    is cut by the tokenizer's own pattern, and pieces not seen before go through its merges alone, many at a time;
-    any other word (special tokens, composed characters, other scripts) goes through the whole tokenizer.
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: its kind, its lower case. By two bytes of a plain character beyond ASCII: its kind (0: not plain), its lower case."""
+    kind, lower = np.full(256, WHOLE, np.uint8), np.arange(256, dtype=np.uint8)
+    kind[list(b" \t\n\x0b\x0c\r")] = WHITE
+    kinds, lowers = np.zeros(1 << 16, np.uint8), np.zeros((1 << 16, 2), np.uint8)
+    for c in PLAIN:
+        if c < 0x80:
+            kind[c], lower[c] = _kind(c), ord(chr(c).lower())
+        else:
+            at = int.from_bytes(chr(c).encode(), "big")
+            kinds[at], lowers[at] = _kind(c), list(chr(c).lower().encode())
+    return kind, lower, kinds, lowers
+
+
+KIND, LOWER, KINDS, LOWERS = _tables()
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of a text: its bytes in lower case, and the start, size and kind of every piece.
+
+    A piece is a run of letters, one number, or a run of other signs; a word with a character that is not plain, with an
+    apostrophe or with the start of a special token is one piece of kind ``WHOLE`` and keeps its case.
+    """
+    kind, low = KIND[data], LOWER[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    pair = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    fine = KINDS[pair] > 0
+    lead, pair = lead[fine], pair[fine]
+    kind[lead] = kind[lead + 1] = KINDS[pair]
+    low[lead], low[lead + 1] = LOWERS[pair].T
+    change = np.append(True, kind[1:] != kind[:-1])
+    change |= kind == NUMBER
+    change[lead + 1] = False
+    odd = kind == WHOLE
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    odd = np.flatnonzero(odd)
+    if len(odd):
+        # the words that hold these bytes
+        gap = np.flatnonzero(kind == WHITE)
+        place = np.unique(np.searchsorted(gap, odd))
+        first = np.append(0, gap + 1)[place]
+        stop = np.append(gap, len(data))[place]
+        inside = np.arange(int((stop - first).sum())) + np.repeat(first - (np.cumsum(stop - first) - (stop - first)), stop - first)
+        kind[inside], low[inside], change[inside], change[first] = WHOLE, data[inside], False, True
+    start = np.flatnonzero(change)
+    size = np.diff(np.append(start, len(data)))
+    some = kind[start] != WHITE
+    start, size = start[some], size[some]
+    return low, start, size, kind[start]
+
+
+class Encoder:
+    """Ids of texts as the whole tokenizer gives them, without special tokens.
+
+    For a file of the form above no piece spans white space and equal pieces have equal ids. Pieces are found with array
+    operations, looked up by a 64-bit hash in a table of bounded size, and only those it lacks go through the merges. An
+    entry may be overwritten; its piece is then merged again.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known, self.old = {}, {}
-        self.parts, self.old_parts = {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.plain = None
-        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         ending = spec["model"].get("end_of_word_suffix")
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and ending:
-            self.cut = regex.compile(cuts[0]["pattern"]["Regex"] + r"|\n").findall
+        steps, cuts = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")
+        special = all(x["content"].startswith("<|") and not x["content"].isspace() for x in spec["added_tokens"])
+        self.fast = bool(ending) and steps == STEPS and cuts == CUTS and special and all(spec["model"].get(k) == v for k, v in MODEL.items())
+        if self.fast:
             self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for piece, k in self.bare.get_vocab().items():
                 self.ends[k] = piece.endswith(ending)
             # printable bytes stand for themselves, the others follow in order from 256 on: the byte-level alphabet
             shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-            self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))}
-            self.plain = regex.compile(r"[\n!-~\u00A1-\u012F\u0131-\u017E]+").fullmatch
-
-    def _pieces(self, new: list[str]) -> None:
-        """Add ids of pieces that are not known yet."""
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            text = "\n".join(some).encode().decode("latin-1").translate(self.shown | {10: 10})
+            self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))} | {10: 10}
+            self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.at, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.arena, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        begin, end = self.used, self.used + len(ids)
+        if end > len(self.arena):
+            self.arena = np.append(self.arena[:begin], np.zeros(max(begin, len(ids)), self.kind))
+        self.arena[begin:end], self.used = ids, end
+        return begin
+
+    def _merged(self, pieces_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the arena and counts of the ids of pieces that were cut already."""
+        at, count = [], []
+        for i in range(0, len(pieces_), 4096):
+            some = pieces_[i : i + 4096]
+            text = b"\n".join(some).decode("latin-1").translate(self.shown)
             flat = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[flat]) + 1
-            raw, size = flat.tobytes(), self.kind.itemsize
-            assert len(stops) == len(some)
-            for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                self.parts[w] = raw[size * a : size * b]
-
-    def _add(self, new: list[bytes]) -> None:
-        """Add ids of words that are not known yet."""
-        plain = []
-        if self.plain and new:
-            text = b"\n".join(new).decode("utf-8", "replace")
-            if self.plain(text) and "<|" not in text:
-                new, plain = [], new
-            else:
-                fits = [bool(self.plain(t)) and "<|" not in t for t in text.split("\n")]
-                new, plain = ([w for w, f in zip(new, fits, strict=True) if f is kind] for kind in (False, True))
-                text = b"\n".join(plain).decode()
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-        if plain:
-            # a line a word, cut in one go; pieces hold neither a line end nor the mark between them
-            cut = self.cut(text.lower())
-            missing, self.parts, self.old_parts = _renewed(set(cut).difference("\n"), self.parts, self.old_parts)
-            self._pieces(missing)
-            part = self.parts
-            lines = "\0".join(cut).split("\0\n\0")
-            self.known.update((w, b"".join([part[p] for p in line.split("\0")]) if "\0" in line else part[line]) for w, line in zip(plain, lines, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, without special tokens."""
-        words = [t.split() for t in texts]
-        new, self.known, self.old = _renewed(set().union(*words), self.known, self.old)
-        self._add(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+            if len(stops) != len(some):
+                raise RuntimeError("the tokenizer's word ends do not part its pieces")
+            first = np.append(0, stops[:-1])
+            at.append(self._append(flat) + first)
+            count.append(stops - first)
+        return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(count or [np.zeros(0, np.int64)])
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of whole words by the whole tokenizer."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        count = np.array([len(x) for x in ids], np.int64)
+        return self._append(np.array([k for x in ids for k in x], self.kind)) + np.cumsum(count) - count, count
+
+    def _found(self, body: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the arena and counts of the ids of all pieces."""
+        h = mixed(size.astype(np.uint64) + (kind == WHOLE).astype(np.uint64) * np.uint64(1 << 40) + np.uint64(1))
+        lanes = np.ndarray((len(body) - 7,), np.uint64, body.data, strides=(1,))
+        for k in range(0, LONGEST, 8):
+            some = np.flatnonzero(size > k) if k else slice(None)
+            h[some] = mixed(h[some] * np.uint64(0x9E3779B97F4A7C15) ^ (lanes[start[some] + k] & MASKS[np.minimum(size[some] - k, 8)]))
+        h |= np.uint64(1)  # 0 marks a free slot
+        one, two = ((h >> np.uint64(s) & np.uint64(SLOTS - 1)).astype(np.int64) for s in (1, 32))
+        slot = np.where(self.keys[one] == h, one, two)
+        short = size <= LONGEST
+        known = (self.keys[slot] == h) & short
+        at, count = self.at[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            # long pieces are not kept; here they are told apart by themselves
+            raw, mine = body.tobytes(), h[new]
+            for j in np.flatnonzero(~short[new]).tolist():
+                i = new[j]
+                mine[j] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]], int(kind[i] == WHOLE))
+            _, first, back = np.unique(mine, return_index=True, return_inverse=True)
+            first = new[first]
+            where, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            for whole in (False, True):
+                which = np.flatnonzero((kind[first] == WHOLE) == whole)
+                if len(which):
+                    f = first[which]
+                    cut = [raw[a:b] for a, b in zip(start[f].tolist(), (start[f] + size[f]).tolist(), strict=True)]
+                    where[which], n[which] = (self._whole if whole else self._merged)(cut)
+            at[new], count[new] = where[back], n[back]
+            keep = short[first]
+            f, where, n = first[keep], where[keep], n[keep]
+            free = np.where((self.keys[one[f]] != 0) & (self.keys[two[f]] == 0), two[f], one[f])
+            self.keys[free], self.at[free], self.count[free] = h[f], where, n
+            # of pieces dealt to one slot the last written stays; its key, place and count must be one piece's
+            lost = self.keys[free] != h[f]
+            free, f, where, n = free[~lost], f[~lost], where[~lost], n[~lost]
+            self.at[free], self.count[free] = where, n
+        return at, count
+
+    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end`` if given, and the number of each text's."""
+        more = [] if end is None else [end]
+        if not self.fast:
+            ids = [e.ids + more for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.array([k for x in ids for k in x], self.kind), np.array([len(x) for x in ids], np.int64)
+        if self.used > ARENA:
+            self._clear()
+        joined = b"\n".join(texts)
+        body, start, size, kind = runs(np.frombuffer(joined + b"\n", np.uint8))
+        at, count = self._found(np.append(body, np.zeros(LONGEST, np.uint8)), start, size, kind)
+        edges = np.searchsorted(start, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
+        n = np.diff(np.append(0, np.cumsum(count))[edges]) + len(more)
+        text = np.repeat(np.arange(len(texts)), np.diff(edges))
+        begin = np.cumsum(count) - count + text * len(more)
+        out = np.full(int(n.sum()), 0 if end is None else end, self.kind)
+        total = int(count.sum())
+        step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(begin, count) + step] = self.arena[np.repeat(at, count) + step]
+        return out, n
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """A worker's encoder; it outlives a task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -180,24 +295,24 @@ def tokenized(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(path), 0
         signs = directions(enc.tokenizer.get_vocab_size())
-        tail = b"" if end is None else np.array([end], enc.kind).tobytes()
         for batch in batches:
             for part in pieces(batch, 1, PIECE):
-                ids = [x + tail for x in enc.encode(byte_rows(part.column(1)))]
-                n = np.array([len(x) // enc.kind.itemsize for x in ids], np.int64)
-                point = projected(signs[np.frombuffer(b"".join(ids), enc.kind)], n)
-                tie = (np.arange(row, row + len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                row += len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(tie), *map(pa.array, point.T.copy())], names=["doc_id", "ids", "tokens", "tie", *(f"p{k}" for k in range(DIMENSIONS))])
+                flat, n = enc.encode(byte_rows(part.column(1)), end)
+                point = projected(signs[flat], n)
+                tie = (np.arange(row, row + len(n), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                row += len(n)
+                stops = np.append(0, np.cumsum(n) * enc.kind.itemsize)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(stops), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(n), pa.array(tie), *map(pa.array, point.T.copy())], names=["doc_id", "ids", "tokens", "tie", *(f"p{k}" for k in range(DIMENSIONS))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     points = ", ".join(f"p{k} float" for k in range(DIMENSIONS))
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, tokens bigint, tie bigint, {points}")
 
 
-def curve_key(rows: DataFrame) -> Callable[[], Column]:
-    """The Hilbert key of the projected points: each dimension is centred and scaled over all documents first."""
-    stats = rows.agg(*[f(f"p{k}") for k in range(DIMENSIONS) for f in (F.avg, F.stddev_pop)]).first()
+def curve_key(rows: DataFrame) -> tuple[Column, int]:
+    """The Hilbert key of the projected points, each dimension centred and scaled over all documents first, and the ids of all."""
+    *stats, total = rows.agg(*[f(f"p{k}") for k in range(DIMENSIONS) for f in (F.avg, F.stddev_pop)], F.sum("tokens")).first()
     mean, spread = (np.array([x or 0.0 for x in stats[i::2]]) for i in (0, 1))
     spread[spread == 0] = 1
 
@@ -207,7 +322,7 @@ def curve_key(rows: DataFrame) -> Callable[[], Column]:
         cells = np.clip((1 / (1 + np.exp(-1.7 * z))) * (1 << DEPTH), 0, (1 << DEPTH) - 1)
         return pa.array(hilbert(cells))
 
-    return lambda: key(*[F.col(f"p{k}") for k in range(DIMENSIONS)])
+    return key(*[F.col(f"p{k}") for k in range(DIMENSIONS)]), total or 0
 
 
 def fill(batches: Iterator[pa.RecordBatch], kind: np.dtype, length: int, first_id: int) -> Iterator[pa.RecordBatch]:
@@ -261,8 +376,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int | None = END
     """
     wide = np.dtype("<u2") if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     rows = stash(tokenized(docs, path, end), "tokens")
-    key = curve_key(rows)
-    order = rows.select("doc_id", "ids", "tokens", "tie", key().alias("key")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    key, total = curve_key(rows)
+    order = rows.select("doc_id", "ids", "tokens", "tie", key.alias("key"))
+    order = order.repartitionByRange(math.ceil(total / SHARE) or 1, "key", "tie").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fill(batches, wide, length, TaskContext.get().partitionId() << 40)
