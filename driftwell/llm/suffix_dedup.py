@@ -7,21 +7,28 @@ several contexts have their bytes fetched and dealt to shards by anchor. A shard
 their suffix array by induced sorting, takes the common prefixes of neighbours in text order, and marks every string
 that equals one that starts earlier. Documents then lose the union of the marked strings.
 
-Anchors, spans and requests travel as packed arrays, one row for a batch of documents and a bucket.
+Contexts are told apart by 64 bits of digest beside their anchor: among ``m`` different contexts of one anchor the odds of
+a false removal are below ``m * m / 2 ** 65``, three in a million for ten million contexts.
+
+An anchor at the edge of a passage that very many documents share has as many different contexts. A sample of the
+documents finds such anchors; it only decides the way, never a result. Their contexts are split into single strings, which
+are dealt by a digest of 128 bits and reduced to the earliest, so no anchor gathers in a task.
+
+Contexts, strings, spans and requests travel as records in binary slices of one buffer, without a step for each slice.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from driftwell.llm.base import byte_rows, pieces, table
 from driftwell.llm.sais import long_prefixes, suffix_array
@@ -33,15 +40,25 @@ RUN, INNER = 120, 128
 #: Bytes of text handled at once, and per packed row; bytes of text per bucket; bytes of contexts per shard.
 PIECE, PACK, BUCKET, SHARD = 1 << 20, 32 << 20, 16 << 20, 2 << 20
 LEAST_BUCKETS = 48
-MASK = np.uint64((1 << 48) - 1)
+#: One document in so many is sampled for anchors with many contexts; an anchor with so many in the sample is one, and of
+#: those the most frequent are listed, so many at most.
+SHARE, OFTEN, LISTED = 64, 32, 100_000
 LAST = np.iinfo(np.int64).max
 
+PLACE = [("doc", "<i8"), ("th", "<i8"), ("home", "<i4"), ("start", "<i4")]
+CONTEXT = np.dtype([*PLACE, ("run", "u1"), ("anchor", "<u8"), ("digest", "<u8")])
+STRING = np.dtype([*PLACE, ("digest", "<u8"), ("second", "<u8")])
+SPAN = np.dtype([*PLACE, ("stop", "<i4")])
+#: Kinds of rows.
+CONTEXTS, STRINGS, SPANS, WANTED = range(4)
+ROWS = "key bigint, home bigint, kind int, size bigint, records binary, bytes binary"
+
 
 def _table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-GRAM_TABLE, TEXT_TABLE = _table(11), _table(12)
+GRAM_TABLE, TEXT_TABLE, SECOND_TABLE = _table(11), _table(12), _table(13)
 BASE, TEXT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: list[np.ndarray] = []
 
@@ -85,23 +102,25 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[:n], now[width - span : width - span + n])
 
 
-def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of all strings of ``length`` bytes, joined by anchor: (text index, first start, windows, anchor, digest).
+def contexts(texts: list[bytes], hot: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """All strings of ``length`` bytes: those joined by anchor as (text index, first start, windows, anchor, digest), and
+    those whose anchor is in ``hot`` one by one as (text index, start, digest, second digest).
 
     ``INNER`` is added to the windows of a context that has its anchor twice, as one that repeats within itself has.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
-    none = np.zeros(0, np.int64)
+    none, hashed = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    nothing = (none, none, none, hashed, hashed), (none, none, hashed, hashed)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)
     hashes = gram_hashes(data, gram)
     least = sliding_least(hashes, length - gram + 1)
     at = np.flatnonzero(ends[owner[: len(least)]] - np.arange(len(least)) >= length)
     if not len(at):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     least = least[at]
     new = np.append(True, (least[1:] != least[:-1]) | (np.diff(at) != 1))
     # a run ends after RUN windows at the latest
@@ -109,159 +128,182 @@ def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     first = np.flatnonzero(inside % RUN == 0)
     run = np.diff(np.append(first, len(at)))
-    begin = at[first]
+    begin, anchor = at[first], _mix(least[first] + np.uint64(1))
     power, inverse = powers(len(data))
     sums = np.append(np.uint64(0), np.cumsum(TEXT_TABLE[data] * power))
+    often = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
+    singles = nothing[1]
+    if often.any():
+        w = np.repeat(begin[often] - (np.cumsum(run[often]) - run[often]), run[often]) + np.arange(int(run[often].sum()))
+        more = np.append(np.uint64(0), np.cumsum(SECOND_TABLE[data] * power))
+        singles = owner[w], w - (ends - sizes)[owner[w]], *(_mix((x[w + length] - x[w]) * inverse[w]) for x in (sums, more))
+        begin, anchor, run, first = begin[~often], anchor[~often], run[~often], first[~often]
     stop = begin + run + length - 1
     digest = _mix(((sums[stop] - sums[begin]) * inverse[begin]) ^ (run.astype(np.uint64) << np.uint64(40)))
-    anchor = _mix(least[first] + np.uint64(1))
     grams = run + length - gram
-    at = np.arange(int(grams.sum())) + np.repeat(begin - (np.cumsum(grams) - grams), grams)
-    twice = np.add.reduceat(hashes[at] == np.repeat(least[first], grams), np.cumsum(grams) - grams, dtype=np.int64) > 1
+    twice = np.zeros(0, bool)
+    if len(run):
+        at = np.arange(int(grams.sum())) + np.repeat(begin - (np.cumsum(grams) - grams), grams)
+        twice = np.add.reduceat(hashes[at] == np.repeat(least[first], grams), np.cumsum(grams) - grams, dtype=np.int64) > 1
     doc = owner[begin]
-    return doc, begin - (ends - sizes)[doc], run + INNER * twice, anchor & MASK, digest & MASK
+    return (doc, begin - (ends - sizes)[doc], run + INNER * twice, anchor, digest), singles
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], 5), 1)
+def earliest(x: np.ndarray) -> np.ndarray:
+    """The rank of each place: by document, null ids last, then start. Equal places, of repeated rows, rank alike."""
+    order = np.lexsort((x["start"], x["th"], x["doc"]))
+    new = np.zeros(len(order), np.int64)
+    for name in ("doc", "th", "start"):
+        y = x[name][order]
+        new[1:] |= y[1:] != y[:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b, d) for d, b in pickle.loads(zstandard.decompress(blob))]
+def repeats(x: np.ndarray, keys: tuple[str, str]) -> np.ndarray:
+    """True for those of the records with equal ``keys`` that do not stand in the earliest place."""
+    a, b = x[keys[0]], x[keys[1]]
+    order = np.argsort(a ^ b * np.uint64(BASE), kind="stable")
+    # only records whose mixed keys occur twice need to be ranked
+    h = (a ^ b * np.uint64(BASE))[order]
+    same = h[1:] == h[:-1]
+    some = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    out = np.zeros(len(x), bool)
+    if len(some):
+        y = x[some]
+        rank = earliest(y)
+        o = np.lexsort((rank, y[keys[1]], y[keys[0]]))
+        first = np.append(True, (y[keys[0]][o][1:] != y[keys[0]][o][:-1]) | (y[keys[1]][o][1:] != y[keys[1]][o][:-1]))
+        out[some[o]] = rank[o] != rank[o][np.flatnonzero(first)][np.cumsum(first) - 1]
+    return out
 
 
-def six(x: np.ndarray) -> np.ndarray:
-    """48-bit values in 6 bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def spans_of(x: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The spans of ``size`` bytes from the records' starts; spans that adjoin or overlap in a batch's order are one."""
+    x = x if isinstance(size, np.ndarray) else x[np.lexsort((x["start"], x["th"], x["doc"]))]
+    out = np.zeros(len(x), SPAN)
+    for name, _ in PLACE:
+        out[name] = x[name]
+    out["stop"] = x["start"] + size
+    if not isinstance(size, np.ndarray) and len(out):
+        new = np.append(True, (out["doc"][1:] != out["doc"][:-1]) | (out["th"][1:] != out["th"][:-1]) | (out["start"][1:] > out["stop"][:-1]))
+        first = np.flatnonzero(new)
+        stop = out["stop"][np.append(first[1:], len(out)) - 1]
+        out = out[first]
+        out["stop"] = stop
+    return out
 
 
-def whole(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = x.reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.int64)
+def _slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The runs of ``values`` between ``cuts`` as binary values of one buffer."""
+    stops = np.append(cuts, len(values)).astype(np.int64) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each value and the rows that have it, in order."""
-    order = np.argsort(groups, kind="stable")
-    cuts = np.flatnonzero(np.diff(groups[order])) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
-        if b > a:
-            yield int(groups[order[a]]), order[a:b]
+def rows_by(key: np.ndarray, kind: int, records: np.ndarray, sizes: np.ndarray | None = None, home: bool = False) -> pa.RecordBatch:
+    """One row for each value of ``key`` with its records; ``home`` tells whether that value is a home."""
+    order = np.argsort(key, kind="stable")
+    key, records = key[order], records[order]
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.add.reduceat(sizes[order], cuts) if sizes is not None and len(cuts) else np.zeros(len(cuts), np.int64)
+    at = pa.array(key[cuts].astype(np.int64))
+    return pa.RecordBatch.from_arrays([at, at if home else pa.nulls(len(cuts), pa.int64()), pa.array(np.full(len(cuts), kind, np.int32)), pa.array(size.astype(np.int64)), _slices(records, cuts), pa.nulls(len(cuts), pa.binary())], names=NAMES)
 
 
-def earliest(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The rank of each place: by document, null ids last, then start. Equal places, of repeated rows, rank alike."""
-    order = np.lexsort((start, digest, doc))
-    new = np.zeros(len(order), np.int64)
-    for x in (doc[order], digest[order], start[order]):
-        new[1:] |= x[1:] != x[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
-def repeats(anchor: np.ndarray, digest: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """True for those of equal contexts that do not stand in the earliest place."""
-    order = np.lexsort((rank, digest, anchor))
-    a, d, r = anchor[order], digest[order], rank[order]
-    first = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]))[: len(order)]
-    least = r[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else r
-    out = np.zeros(len(order), bool)
-    out[order] = r != least
-    return out
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
-def spans_out(home: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    for h, rows in by_group(home):
-        rows = rows[np.lexsort((start[rows], th[rows], doc[rows]))]
-        yield h, packed(doc[rows], th[rows], start[rows], stop[rows])
+def records(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(byte_rows(column)), kind)
 
 
-SPANS = "home bigint, kind int, size bigint, blob binary"
+def of_kind(rows: pa.Table, kind: int, column: str, dtype: np.dtype) -> np.ndarray:
+    return records(rows.filter(pa.compute.equal(rows["kind"], kind))[column], dtype)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["home", "kind", "size", "blob"])
+def _placed(dtype: np.dtype, doc: np.ndarray, th: np.ndarray, home: np.ndarray, which: np.ndarray, **values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(which), dtype)
+    out["doc"], out["th"], out["home"] = doc[which], th[which], home[which]
+    for name, x in values.items():
+        out[name] = x
+    return out
 
 
-def _anchors(buckets: int):  # noqa: ANN202
+def _anchors(buckets: int, hot: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            doc, th, home, at, run_, anchor, digest = (np.concatenate(x) for x in zip(*held, strict=True))
-            again = repeats(anchor, digest, earliest(doc, th, at))
-            rows = []
-            for b, r in by_group((anchor % np.uint64(buckets)).astype(np.int64)):
-                # documents are listed once; a context that repeats an earlier one here needs no anchor any more
-                one, r = r[again[r]], r[~again[r]]
-                keys, which = np.unique(np.stack([doc[r], th[r], home[r]], axis=1), axis=0, return_inverse=True)
-                o = np.lexsort((at[r], which.ravel()))
-                r, which = r[o], which.ravel()[o]
-                rows.append((b, 0, len(r), packed(keys.T.copy(), which.astype(np.uint32), at[r].astype(np.uint32), run_[r].astype(np.uint8), six(anchor[r]), six(digest[r]), doc[one], th[one], home[one], at[one], at[one] + run_[one] % INNER + LENGTH - 1)))
-            return _batch(rows)
+        held, single, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            again = repeats(x, ("anchor", "digest"))
+            one, x = x[again], x[~again]
+            spans = [spans_of(one, one["run"].astype(np.int64) % INNER + LENGTH - 1)]
+            yield rows_by((x["anchor"] % np.uint64(buckets)).astype(np.int64), CONTEXTS, x)
+            if single:
+                y = np.concatenate(single)
+                again = repeats(y, ("digest", "second"))
+                spans.append(spans_of(y[again], LENGTH))
+                yield rows_by((y["digest"][~again] % np.uint64(buckets)).astype(np.int64), STRINGS, y[~again])
+            spans = np.concatenate(spans)
+            yield rows_by(spans["home"], SPANS, spans, home=True)
 
         for batch in batches:
             for part in pieces(batch, 1, PIECE):
                 texts = byte_rows(part.column(1))
-                which, at, run_, anchor, digest = contexts(texts)
-                doc = np.array([LAST if x is None else x for x in part.column(0).to_pylist()], np.int64)
+                doc = np.asarray(part.column(0).fill_null(LAST), np.int64)
                 th, home = (np.asarray(part.column(k), np.int64) for k in (2, 3))
-                held.append((doc[which], th[which], home[which], at, run_, anchor, digest))
-                size += sum(map(len, texts))
+                (which, at, run_, anchor, digest), (w, start, d, second) = contexts(texts, hot)
+                held.append(_placed(CONTEXT, doc, th, home, which, start=at, run=run_, anchor=anchor, digest=digest))
+                if len(w):
+                    single.append(_placed(STRING, doc, th, home, w, start=start, digest=d, second=second))
+                size += sum(map(len, texts)) + 40 * len(w)
                 if size > PACK:
-                    yield flush()
-                    held, size = [], 0
+                    yield from flush()
+                    held, single, size = [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def _matched(bucket: pa.Table) -> pa.Table:
-    """Contexts of a bucket: spans of those that repeat earlier ones (kind 1), and requests for the bytes of the
-    others whose anchor has several or stands in them twice (kind 2)."""
-    parts = []
-    gone = []
-    for blob in bucket["blob"].to_pylist():
-        keys, which, at, run_, anchor, digest, *one = unpacked(blob)
-        gone.append(one)
-        doc, th, home = keys.reshape(3, -1)
-        parts.append((doc[which], th[which], home[which], at.astype(np.int64), run_.astype(np.int64), whole(anchor), whole(digest)))
-    doc, th, home, at, run_, anchor, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
-    inner, run_ = run_ >= INNER, run_ % INNER
-    again = repeats(anchor, digest, earliest(doc, th, at))
-    out = []
-    extra = [np.concatenate(x) for x in zip(*gone, strict=True)]
-    r = np.flatnonzero(again)
-    cols = [np.concatenate((a[r], b)) for a, b in zip((doc, th, home, at, at + run_ + LENGTH - 1), extra, strict=True)]
-    out += [(h, 1, 0, b) for h, b in spans_out(cols[2], cols[0], cols[1], cols[3], cols[4])]
-    r = np.flatnonzero(~again)
-    _, group, n = np.unique(anchor[r], return_inverse=True, return_counts=True)
-    r = r[(n[group] > 1) | inner[r]]
-    for h, x in by_group(home[r]):
-        x = r[x]
-        out.append((h, 2, int((run_[x] + LENGTH - 1).sum()), packed(doc[x], th[x], at[x], at[x] + run_[x] + LENGTH - 1, anchor[x])))
-    return pa.Table.from_batches([_batch(out)])
+    """Spans of contexts and strings that repeat earlier ones, and requests for the bytes of the other contexts whose
+    anchor has several or stands in them twice."""
+    x, y = of_kind(bucket, CONTEXTS, "records", CONTEXT), of_kind(bucket, STRINGS, "records", STRING)
+    again = repeats(x, ("anchor", "digest"))
+    one, x = x[again], x[~again]
+    spans = np.concatenate((spans_of(one, one["run"].astype(np.int64) % INNER + LENGTH - 1), spans_of(y[repeats(y, ("digest", "second"))], LENGTH)))
+    order = np.argsort(x["anchor"], kind="stable")
+    a = x["anchor"][order]
+    same = a[1:] == a[:-1]
+    several = np.zeros(len(x), bool)
+    several[order] = np.append(same, False) | np.append(False, same) if len(x) else False
+    x = x[several | (x["run"] >= INNER)]
+    x["run"] %= INNER
+    passed = bucket.filter(pa.compute.equal(bucket["kind"], SPANS)).combine_chunks()
+    return pa.concat_tables([passed.cast(SCHEMA), *(pa.Table.from_batches([b]).cast(SCHEMA) for b in (rows_by(spans["home"], SPANS, spans, home=True), rows_by(x["home"], WANTED, x, x["run"].astype(np.int64) + LENGTH - 1, home=True)))])
+
+
+SCHEMA = pa.schema([("key", pa.int64()), ("home", pa.int64()), ("kind", pa.int32()), ("size", pa.int64()), ("records", pa.binary()), ("bytes", pa.binary())])
 
 
 def doc_texts(docs: pa.Table) -> dict[tuple[int, int], bytes]:
-    ids = [LAST if x is None else x for x in docs["doc_id"].to_pylist()]
-    return dict(zip(zip(ids, docs["th"].to_pylist(), strict=True), byte_rows(docs["text"]), strict=True))
+    return dict(zip(zip(docs["doc"].fill_null(LAST).to_pylist(), docs["th"].to_pylist(), strict=True), byte_rows(docs["text"]), strict=True))
 
 
 def _fetched(shards: int):  # noqa: ANN202
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        texts, out = doc_texts(docs), []
-        homes = wanted["home"].to_pylist()
-        for home, blob in zip(homes, wanted["blob"].to_pylist(), strict=True):
-            doc, th, start, stop, anchor = unpacked(blob)
-            for shard, r in by_group(anchor % shards):
-                cut = [texts[(d, t)][a:b] for d, t, a, b in zip(doc[r].tolist(), th[r].tolist(), start[r].tolist(), stop[r].tolist(), strict=True)]
-                out.append((shard, 3, len(cut), packed(doc[r], th[r], np.full(len(r), home), start[r], stop[r] - start[r], np.frombuffer(b"".join(cut), np.uint8))))
-        return pa.Table.from_batches([_batch(out)])
+        texts, x = doc_texts(docs), records(wanted["records"], CONTEXT)
+        shard = (x["anchor"] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        x, shard = x[order], shard[order]
+        sizes = x["run"].astype(np.int64) + LENGTH - 1
+        cut = [texts[d, t][a : a + n] for d, t, a, n in zip(x["doc"].tolist(), x["th"].tolist(), x["start"].tolist(), sizes.tolist(), strict=True)]
+        rows = rows_by(shard, CONTEXTS, x)
+        first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(x) else np.zeros(0, np.int64)
+        data = _slices(np.frombuffer(b"".join(cut), np.uint8), (np.cumsum(sizes) - sizes)[first])
+        return pa.Table.from_batches([rows.set_column(5, "bytes", data)])
 
     return run
 
@@ -300,15 +342,15 @@ def marked(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray, length: int =
 
 
 def _searched(shard: pa.Table) -> pa.Table:
-    cols = [np.concatenate(x) for x in zip(*(unpacked(b) for b in shard["blob"].to_pylist()), strict=True)]
-    doc, th, home, start, sizes, data = cols
-    which, offset = marked(sizes, data, earliest(doc, th, start))
+    x, data = records(shard["records"], CONTEXT), np.frombuffer(b"".join(byte_rows(shard["bytes"])), np.uint8)
+    which, offset = marked(x["run"].astype(np.int64) + LENGTH - 1, data, earliest(x))
     new = np.append(True, (which[1:] != which[:-1]) | (np.diff(offset) != 1)) if len(which) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(which))[: len(first)] - 1
-    c = which[first]
-    begin, stop = start[c] + offset[first], start[c] + offset[last] + LENGTH
-    return pa.Table.from_batches([_batch([(h, 1, 0, b) for h, b in spans_out(home[c], doc[c], th[c], begin, stop)])])
+    y = x[which[first]]
+    y["start"] += offset[first].astype(np.int32)
+    spans = spans_of(y, offset[last] - offset[first] + LENGTH)
+    return pa.Table.from_batches([rows_by(spans["home"], SPANS, spans, home=True)])
 
 
 def union(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -320,14 +362,12 @@ def union(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 
 def spans_by_text(spans: pa.Table) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-    for blob in spans["blob"].to_pylist():
-        doc, th, start, stop = unpacked(blob)
-        cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(th) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
-            if b > a:
-                found.setdefault((int(doc[a]), int(th[a])), []).append((start[a:b], stop[a:b]))
-    return {k: union(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in found.items()}
+    x = records(spans["records"], SPAN)
+    if not len(x):
+        return {}
+    x = x[np.lexsort((x["start"], x["th"], x["doc"]))]
+    cuts = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["th"][1:] != x["th"][:-1])))
+    return {(int(x["doc"][a]), int(x["th"][a])): union(x["start"][a:b], x["stop"][a:b]) for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True)}
 
 
 def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -340,13 +380,13 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
     found, rows = spans_by_text(spans), []
-    for d, th, text in zip(docs["doc_id"].to_pylist(), docs["__dw_th"].to_pylist(), byte_rows(docs["text"]), strict=True):
-        gone = found.get((LAST if d is None else d, th), [])
-        rows.append((d, th, len(text), sum(b - a for a, b in gone), hashlib.sha256(without(text, gone)).hexdigest(), gone))
-    cols = list(zip(*rows, strict=True)) or [()] * 6
+    for d, th, text in zip(docs["__dw_doc"].fill_null(LAST).to_pylist(), docs["__dw_th"].to_pylist(), byte_rows(docs["text"]), strict=True):
+        gone = found.get((d, th), [])
+        rows.append((th, len(text), sum(b - a for a, b in gone), hashlib.sha256(without(text, gone)).hexdigest(), gone))
+    cols = list(zip(*rows, strict=True)) or [()] * 5
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    spans_ = pa.array([[{"start": a, "stop": b} for a, b in g] for g in cols[5]], kind)
-    return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), spans_], names=["doc_id", "th", "n_bytes", "n_removed", "kept_sha256", "spans"])
+    spans_ = pa.array([[{"start": a, "stop": b} for a, b in g] for g in cols[4]], kind)
+    return pa.Table.from_arrays([docs["doc_id"], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), spans_], names=["doc_id", "th", "n_bytes", "n_removed", "kept_sha256", "spans"])
 
 
 def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -365,8 +405,8 @@ def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
 def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     """The documents with their repeated characters taken out; those of which nothing is left go."""
     found, texts, keep = spans_by_text(spans), [], []
-    for d, th, text in zip(docs["doc_id"].to_pylist(), docs["__dw_th"].to_pylist(), byte_rows(docs["text"]), strict=True):
-        left = without(text, whole_characters(text, found.get((LAST if d is None else d, th), [])))
+    for d, th, text in zip(docs["__dw_doc"].fill_null(LAST).to_pylist(), docs["__dw_th"].to_pylist(), byte_rows(docs["text"]), strict=True):
+        left = without(text, whole_characters(text, found.get((d, th), [])))
         texts.append(left.decode("utf-8", "replace"))
         keep.append(bool(left) or not text)
     at = docs.schema.get_field_index("text")
@@ -375,45 +415,67 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     if "n_chars" in docs.schema.names:
         field = docs.schema.field("n_chars")
         out = out.set_column(docs.schema.get_field_index("n_chars"), field, pa.array([None if n else len(t) for n, t in zip(nulls, texts, strict=True)], field.type))
-    return out.filter(pa.array(keep)).drop_columns(["__dw_th", "__dw_home"])
+    return out.filter(pa.array(keep)).drop_columns(["__dw_doc", "__dw_th", "__dw_home"])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__dw_doc``, a number in the order of doc_id: whole numbers are their own, other ids are counted off."""
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return docs.withColumn("__dw_doc", F.col("doc_id").cast("long"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = stash(ids.select(F.col("doc_id").alias("__dw_id"), F.monotonically_increasing_id().alias("__dw_doc")), "repeats-ids")
+    return docs.join(ids, docs["doc_id"] == ids["__dw_id"], "left").drop("__dw_id")
+
+
+def frequent_anchors(narrow: DataFrame, share: int = SHARE, often: int = OFTEN, most: int = LISTED) -> np.ndarray:
+    """Anchors with many different contexts in a sample of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 0, PIECE):
+                (_, _, _, anchor, digest), _ = contexts(byte_rows(part.column(0)), np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["anchor", "digest"])
+
+    some = narrow.where(F.pmod(F.xxhash64(F.lit(29), "doc", "th"), F.lit(share)) == 0).select("text").mapInArrow(run, "anchor bigint, digest bigint").distinct()
+    found = some.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "anchor").limit(most).collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with ``__dw_th`` and ``__dw_home``, and the spans of their repeats by home."""
-    th = F.coalesce(F.xxhash64("text"), F.lit(0))
-    d = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__dw_th", th)
+def _spans(docs: DataFrame, share: int, often: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with ``__dw_doc``, ``__dw_th`` and ``__dw_home``, and the spans of their repeats by home."""
+    d = numbered(docs).withColumn("__dw_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET))
-    d = d.withColumn("__dw_home", F.pmod(F.xxhash64("doc_id", "__dw_th"), F.lit(buckets)))
-    narrow = d.select("doc_id", "text", F.col("__dw_th").alias("th"), F.col("__dw_home").alias("home"))
-    anchors = narrow.mapInArrow(_anchors(buckets), SPANS)
-    found = stash(anchors.groupBy("home").applyInArrow(_matched, SPANS), "repeats")
-    wanted = found.where("kind = 2")
+    d = d.withColumn("__dw_home", F.pmod(F.xxhash64("__dw_doc", "__dw_th"), F.lit(buckets)))
+    narrow = d.select(F.col("__dw_doc").alias("doc"), "text", F.col("__dw_th").alias("th"), F.col("__dw_home").alias("home"))
+    anchors = narrow.mapInArrow(_anchors(buckets, frequent_anchors(narrow, share, often)), ROWS)
+    found = stash(anchors.groupBy("key").applyInArrow(_matched, ROWS), "repeats")
+    wanted = found.where(F.col("kind") == WANTED)
     size = wanted.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(size / SHARD))
-    cut = narrow.groupBy("home").cogroup(wanted.groupBy("home")).applyInArrow(_fetched(shards), SPANS)
-    more = stash(cut.groupBy("home").applyInArrow(_searched, SPANS), "repeats")
-    return d, found.where("kind = 1").unionByName(more)
+    cut = narrow.groupBy("home").cogroup(wanted.groupBy("home")).applyInArrow(_fetched(max(1, math.ceil(size / SHARD))), ROWS)
+    more = stash(cut.groupBy("key").applyInArrow(_searched, ROWS), "repeats")
+    return d, found.where(F.col("kind") == SPANS).unionByName(more)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, share: int = SHARE, often: int = OFTEN) -> DataFrame:
     """(doc_id, th, n_bytes, n_removed, kept_sha256, spans): the runs of bytes covered by strings that occur earlier.
 
     ``th`` is the hash of the text. A null or empty text has no bytes. Rows that repeat an id and a text are one
-    document; those that repeat only an id come in the order of ``th``; null ids come last. An empty table gives an empty
-    result, extra columns are ignored.
+    document; those that repeat only an id come in the order of ``th``; null ids come last. Ids of any type that has an
+    order will do. An empty table gives an empty result, extra columns are ignored. ``share`` and ``often`` decide which
+    anchors are split further, not the result.
     """
-    d, spans = _spans(docs.select("doc_id", "text"))
-    kind = "doc_id bigint, th bigint, n_bytes bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"
+    d, spans = _spans(docs.select("doc_id", "text"), share, often)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, n_bytes bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"
     return d.groupBy("__dw_home").cogroup(spans.groupBy("home")).applyInArrow(_removed, kind)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, share: int = SHARE, often: int = OFTEN) -> DataFrame:
     """The documents without what ``repeated_spans`` finds, in whole characters; columns as they are.
 
     ``n_chars``, if there, follows the text. A document of which nothing is left goes.
     """
-    d, spans = _spans(docs)
+    d, spans = _spans(docs, share, often)
     return d.groupBy("__dw_home").cogroup(spans.groupBy("home")).applyInArrow(_cut, docs.schema)
 
 
