@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.base import table
-from driftwell.storage import stash
+from driftwell.storage import broadcast_checked
 
 #: N-grams that a profile and a text are ranked to.
 DEPTH = 300
@@ -68,14 +68,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH) -> dict[str
     """The profile of every language of ``docs`` (doc_id, text, lang), rows without a language apart.
 
     At most about ``sample`` documents of a language are read, chosen by a hash of their id. N-grams are counted by task,
-    summed by Spark, and only ``depth`` of each language reach the driver.
+    summed by Spark, and only ``depth`` of each language reach the driver: 8 bytes for each, so ten thousand languages are 24 MB.
     """
     docs = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    sizes = broadcast_checked(docs.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
+    some = docs.join(sizes, docs["lang"] == sizes["l"]).where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +84,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH) -> dict[str
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     totals = some.select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = stash(totals, "ngrams")
-    out = {}
-    for lang in sorted(sizes):
-        top = totals.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(depth).collect()
-        out[lang] = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
-    return out
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    out: dict[str, list[int]] = {}
+    for r in totals.withColumn("place", place).where(F.col("place") <= depth).orderBy("lang", "place").collect():
+        out.setdefault(r["lang"], []).append(r["gram"])
+    return {k: np.array(v, np.int64).view(np.uint64) for k, v in out.items()}
 
 
 class Ranker:

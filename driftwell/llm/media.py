@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.base import byte_rows, pieces, table
-from driftwell.storage import stash
+from driftwell.storage import broadcast_checked, stash
 
 #: Payloads are padded to a multiple of so many bytes; it is the width of the image that stores them.
 WIDTH = 64
 REFERENCE = "media:sha256-"
+#: Rows that refer to one digest before its payload is held more than once in the join.
+HOT = 1000
 PIECE = 4 << 20
 ITEMS = "array<struct<position:int,kind:string,text:string,media:string,caption:string>>"
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
@@ -191,13 +193,20 @@ def described(store: DataFrame) -> DataFrame:
 NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, media: DataFrame, references: DataFrame) -> DataFrame:
     """Exploded sequences (…, item) with the described media that each item refers to, null where there is none.
 
-    A digest that many items refer to is a hot key of that join; both sides are plain exchanges, which AQE splits.
+    ``references`` has a row with its digest for every reference. A digest that more than ``HOT`` rows refer to is held as
+    often as they make shares of that size, and each item meets one of these.
     """
+    often = references.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    often = broadcast_checked(stash(often.select(F.col("digest").alias("d"), F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "media-often"))
+    held = media.join(often, media["digest"] == F.col("d"), "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("d", "shares")
     ref = F.when(F.col("item.media").startswith(REFERENCE), F.substring(F.col("item.media"), len(REFERENCE) + 1, 64))
-    return items.withColumn("ref", ref).join(media, F.col("ref") == media["digest"], "left").drop("ref")
+    names = [c for c in items.columns if c != "item"]
+    items = items.withColumn("ref", ref).join(often, F.col("ref") == F.col("d"), "left")
+    items = items.withColumn("part", F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.coalesce("shares", F.lit(1)))).drop("d", "shares")
+    return items.join(held, (F.col("ref") == held["digest"]) & (F.col("part") == held["share"]), "left").drop("ref", "part", "share")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -209,8 +218,12 @@ def text_media(docs: DataFrame) -> DataFrame:
     kept = stash(stored_texts(docs), "media")
     items = sequences(kept.select(F.struct("doc_id", "n_bytes").alias("key"), "html"), "key")
     items = items.select("key.*", F.explode("items").alias("item"))
-    return resolve(items, described(kept)).select("doc_id", "n_bytes", "item.position", "item.caption", *NAMES)
+    return resolve(items, described(kept), kept).select("doc_id", "n_bytes", "item.position", "item.caption", *NAMES)
+
+
+def op9_media_rows(docs: DataFrame) -> DataFrame:
+    return text_media(docs).drop("position", "caption")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(table(spark, sf_dir, "documents")).drop("position", "caption")
+    return op9_media_rows(table(spark, sf_dir, "documents"))

@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 MOST = 3
 BITS, LEVELS = 12, 5
+#: Sources at most; the pass that shares the total among them is one task.
+SOURCES = 1_000_000
 SEED = 20240117
 
 
@@ -82,7 +84,10 @@ def thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """The narrow table (doc_id, source, size, key) and the plan by source."""
     narrow = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_key(F.col("doc_id")).alias("key")), "mix-sizes")
-    plan = stash(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-plan")
+    sizes = stash(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    if sizes.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: their targets are found in one ordered pass")
+    plan = stash(targets(sizes, weights, most), "mix-plan")
     return narrow, broadcast_checked(thresholds(narrow, plan))
 
 

@@ -22,8 +22,10 @@ from driftwell.storage import stash
 
 STATISTICS = ("words", "characters", "word_length", "capitals", "digits", "signs", "bars", "marks", "others", "distinct", "common", "lines", "line_length", "repeated_lines", "capital_words", "ends")
 FEATURES, WIDTH, RIDGE, SEED = 300, 2.5, 1e-3, 17
-#: Sums are added in so many tasks before the driver adds the rest.
-FOLD = 16
+#: So many sums are added in a task, level by level, until no more are left for the driver.
+FOLD = 32
+#: One labelled row in so many is kept from the ridge regression for the calibration.
+HELD = 5
 BUCKETS = 2000
 
 
@@ -104,15 +106,19 @@ def fit(labelled: DataFrame, kernel: Kernel, ridge: float = RIDGE) -> np.ndarray
             a[:, :d] += z.T @ z
             a[:, d] += z.T @ y
             a[0, d + 1] += len(y)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FOLD]), pa.array([a.tobytes()], pa.binary())], names=["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([a.tobytes()], pa.binary())], names=["part", "sums"])
 
     def added(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b) for b in part["sums"].to_pylist())
-        return pa.table({"part": part["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(d * (d + 2))
+        for b in part["sums"]:
+            total += np.frombuffer(b.as_buffer())
+        return pa.table({"part": pa.array([part["part"][0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     kind = "part bigint, sums binary"
-    sums = labelled.select("x", "y").mapInArrow(partial, kind).groupBy("part").applyInArrow(added, kind).collect()
-    total = sum((np.frombuffer(r["sums"]) for r in sums), np.zeros(d * (d + 2))).reshape(d, d + 2)
+    sums = stash(labelled.select("x", "y").mapInArrow(partial, kind), "sums")
+    while sums.count() > FOLD:
+        sums = stash(sums.withColumn("part", F.expr(f"part div {FOLD}")).groupBy("part").applyInArrow(added, kind), "sums")
+    total = sum((np.frombuffer(r["sums"]) for r in sums.collect()), np.zeros(d * (d + 2))).reshape(d, d + 2)
     n = max(total[0, d + 1], 1.0)
     return np.linalg.solve(total[:, :d] / n + ridge * np.eye(d) / d, total[:, d] / n)
 
@@ -151,10 +157,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = stash(measured(docs), "statistics")
     known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").alias("__dw_id"), F.col("label").cast("double").alias("y"))
-    labelled = stash(rows.join(known, rows["doc_id"] == known["__dw_id"]).select("x", "y"), "labelled")
+    labelled = stash(rows.join(known, rows["doc_id"] == known["__dw_id"]).select("x", "y", (F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(HELD)) == 0).alias("held")), "labelled")
     kernel = Kernel(*moments(labelled))
-    weights = fit(labelled, kernel)
-    raw = scored(labelled, kernel, weights).select(F.floor(F.least(F.greatest(F.col("raw"), F.lit(-1.0)), F.lit(2.0)) * (BUCKETS / 3)).alias("bucket"), "y")
+    # the steps are fitted on rows that the weights have not seen; too few labels for that are used for both
+    held = labelled.where("held")
+    both = labelled.where("held = false").isEmpty() or held.isEmpty()
+    weights = fit(labelled if both else labelled.where("held = false"), kernel)
+    raw = scored(labelled if both else held, kernel, weights).select(F.floor(F.least(F.greatest(F.col("raw"), F.lit(-1.0)), F.lit(2.0)) * (BUCKETS / 3)).alias("bucket"), "y")
     steps = raw.groupBy("bucket").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).orderBy("bucket").collect()
     at, ones, n = (np.array([r[k] for r in steps], np.float64) for k in ("bucket", "ones", "n"))
     centres = isotonic((at + 0.5) / (BUCKETS / 3), ones, n) if len(at) else (at, at)

@@ -23,7 +23,8 @@ LEAST = 200
 #: Spreads above the upper (below the lower) quartile at which a fence stands.
 REACH = 4
 #: Ratio: the least spread (per mille), so that a group without variation does not reject the first that differs.
-RATIOS = {"symbols": 15, "dup_lines": 120, "repeats": 75, "capitals": 60, "word_length": 700}
+#: The fence on repeats can stand below the base rule's 300; ``stutter`` is the share of words equal to the one before.
+RATIOS = {"symbols": 15, "dup_lines": 120, "repeats": 72, "stutter": 40, "capitals": 60, "word_length": 700}
 SYMBOLS = r"[#*$%&|<>]"
 PREFIX = "__dw_"
 
@@ -55,11 +56,12 @@ def measures(docs: DataFrame) -> DataFrame:
     for c in "#*$%&|<>":
         plain = F.replace(plain, F.lit(c), F.lit(""))
     words = word_array(F.col("text"))
-    repeats = let(words, lambda w: F.struct(F.size(w).alias("n"), let(windows_of(w), repeated_words).alias("r")))
+    again = lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.try_element_at(w, F.greatest(i, F.lit(1))))))
+    repeats = let(words, lambda w: F.struct(F.size(w).alias("n"), let(windows_of(w), repeated_words).alias("r"), again(w).alias("s")))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0), lambda v: F.struct(F.size(v).alias("n"), (F.size(v) - F.size(F.array_distinct(v))).alias("d")))
     out = docs.withColumns({f"{PREFIX}words": repeats, f"{PREFIX}lines": lines, f"{PREFIX}chars": F.length(white).cast("long"), f"{PREFIX}symbols": (F.length(text) - F.length(plain)).cast("long"), f"{PREFIX}capitals": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long")})
     n, r = F.col(f"{PREFIX}words.n").cast("long"), F.col(f"{PREFIX}words.r").cast("long")
-    return out.withColumns({f"{PREFIX}n_words": n, f"{PREFIX}n_repeat_words": r, f"{PREFIX}n_lines": F.col(f"{PREFIX}lines.n").cast("long"), f"{PREFIX}n_dup_lines": F.col(f"{PREFIX}lines.d").cast("long")}).drop(f"{PREFIX}words", f"{PREFIX}lines")
+    return out.withColumns({f"{PREFIX}n_words": n, f"{PREFIX}n_repeat_words": r, f"{PREFIX}n_stutter": F.col(f"{PREFIX}words.s").cast("long"), f"{PREFIX}n_lines": F.col(f"{PREFIX}lines.n").cast("long"), f"{PREFIX}n_dup_lines": F.col(f"{PREFIX}lines.d").cast("long")}).drop(f"{PREFIX}words", f"{PREFIX}lines")
 
 
 def windows_of(words: Column) -> Column:
@@ -74,7 +76,7 @@ def per_mille(part: str, whole: str) -> Column:
 
 def ratios() -> dict[str, Column]:
     """Whole per mille of each measure."""
-    return {"symbols": per_mille("symbols", "chars"), "dup_lines": per_mille("n_dup_lines", "n_lines"), "repeats": per_mille("n_repeat_words", "n_words"), "capitals": per_mille("capitals", "chars"), "word_length": per_mille("chars", "n_words")}
+    return {"symbols": per_mille("symbols", "chars"), "dup_lines": per_mille("n_dup_lines", "n_lines"), "repeats": per_mille("n_repeat_words", "n_words"), "stutter": per_mille("n_stutter", "n_words"), "capitals": per_mille("capitals", "chars"), "word_length": per_mille("chars", "n_words")}
 
 
 def base_failed() -> Column:
@@ -120,7 +122,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 
 def verdict(measured: DataFrame) -> DataFrame:
-    """What ``measures`` gave, with ``__dw_base_failed`` and ``__dw_kept``. ``measured`` is read more than once. ``__dw_base_failed`` and ``__dw_kept``.
+    """What ``measures`` gave, with ``__dw_base_failed`` and ``__dw_kept``. It is read more than once.
 
     A null text has no words and fails; null languages and sources are groups of their own; repeated rows are judged
     alike; an empty table stays empty. Columns of ``docs`` pass unchanged, whatever their names.
@@ -155,9 +157,9 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w))),
 r AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE k > 1) GROUP BY doc_id),
-m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS capitals FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS capitals FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
-v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS ratio, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN capitals * 1000 // word_chars ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END]) AS x FROM f),
+v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'stutter', 'capitals', 'word_length']) AS ratio, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN n_stutter * 1000 // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN capitals * 1000 // word_chars ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END]) AS x FROM f),
 b AS (SELECT lang, source, ratio, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket FROM v WHERE NOT base_failed),
 {level("a1", "lang, source, ")}, {level("a2", "lang, ")}, {level("a3", "")},
 j AS (SELECT v.doc_id, bool_and(coalesce(x >= coalesce(a1.low, a2.low, a3.low) AND x <= coalesce(a1.high, a2.high, a3.high), TRUE)) AS inside FROM v

@@ -30,6 +30,7 @@ PIECE = 1 << 20
 SAMPLE = 200_000
 #: Fingerprints that a shard should get, and those of a leaf inside a shard.
 SHARD, LEAF = 6_000, 1_500
+FITTED = 64
 PLANE = np.uint64(0x0101010101010101)
 
 
@@ -180,7 +181,8 @@ def near_links(distinct: DataFrame, count: int) -> DataFrame:
     size = min(SAMPLE, count)
     picked = distinct if count <= SAMPLE else distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * SAMPLE / count)).limit(SAMPLE)
     sample = np.sort(np.array([r[0] for r in picked.collect()], np.int64)).view(np.uint64)
-    nodes = grow(sample, max(2, int(SHARD * size / max(count, 1))))
+    # a split is fitted on no fewer than FITTED points; beyond that shards are larger, and go on splitting by themselves
+    nodes = grow(sample, max(FITTED, int(SHARD * size / max(count, 1))))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

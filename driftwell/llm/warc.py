@@ -2,8 +2,9 @@
 
 An archive is a series of Zstandard frames, one a record, after a skippable frame that holds the dictionary all of them
 need. A reader loads the dictionary from that leading frame, decodes frame by frame, and validates every record's version
-line, headers, lengths and digest. Archives are cut at ``ARCHIVE`` bytes and written once: under a name of the task
-attempt first, then moved to the name of the partition, so a repeated task leaves one complete file.
+line, headers, lengths and digest, and revisits against the responses they name. Archives are cut at ``ARCHIVE`` bytes and
+carry the name of their task attempt; the committed table of paths tells which attempts count, so a repeated task neither
+overwrites nor mixes with another's files.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -29,6 +31,8 @@ from driftwell.storage import shared_path, stash
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Bytes of records before an archive is closed; bytes of the dictionary, and of the samples it is made of.
 ARCHIVE, DICTIONARY, SAMPLES = 64 << 20, 64 << 10, 4 << 20
+#: Pages whose beginnings those samples are.
+SAMPLED = 512
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -46,7 +50,7 @@ def record_id(page: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, response: int | None, name: str) -> bytes:
+def record(page: object, url: str | None, payload: bytes, response: object, name: str) -> bytes:
     """A response, or a revisit of the page ``response``, whose payload stays out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = response is not None
@@ -54,11 +58,11 @@ def record(page: int | None, url: str | None, payload: bytes, response: int | No
     # a header holds one line
     uri = "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url or "")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"X-Page-ID: {'' if page is None else page}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"X-Page-ID: {'' if page is None else quote(str(page))}",
         f"WARC-Payload-Digest: sha1:{name}", f"WARC-Block-Digest: sha1:{digest(body)}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(response)}", f"X-Refers-To-Page: {response}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(response)}", f"X-Refers-To-Page: {quote(str(response))}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -136,9 +140,9 @@ def _write(root: str, dictionary: bytes):  # noqa: ANN202
             cols = [batch.column(k).to_pylist() for k in (0, 1, 3, 4)]
             for page, url, payload, response, name in zip(cols[0], cols[1], byte_rows(batch.column(2)), cols[2], cols[3], strict=True):
                 if now is None:
-                    final = f"{base}/part-{task.partitionId():06d}-{len(files):04d}.warc.zst"
-                    files.append((final, f"{final}.{task.taskAttemptId()}"))
-                    now = where.open_output_stream(files[-1][1], compression=None)
+                    # of a task's attempts only that whose rows were committed has its archives in the table of paths
+                    files.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):04d}.warc.zst")
+                    now = where.open_output_stream(f"{base}/{files[-1]}", compression=None)
                     size = now.write(dictionary_frame(dictionary))
                 frame = packer.compress(record(page, url, payload, response, name))
                 now.write(frame)
@@ -147,9 +151,7 @@ def _write(root: str, dictionary: bytes):  # noqa: ANN202
                     now = now.close()
         if now is not None:
             now.close()
-        for final, attempt in files:
-            where.move(attempt, final)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{f.rsplit('/', 1)[1]}" for f, _ in files], pa.string())], names=["path"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{f}" for f in files], pa.string())], names=["path"])
 
     return run
 
@@ -162,7 +164,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with where.open_input_stream(file, compression=None) as data:
                 for raw in read_archive(data):
                     h = parse(raw)
-                    rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-target-uri"], h["warc-type"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None, h["payload"]))
+                    page, refers = (unquote(h[k]) if h.get(k) else None for k in ("x-page-id", "x-refers-to-page"))
+                    rows.append((page, h["warc-target-uri"], h["warc-type"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), refers, h["payload"]))
                     size += len(raw)
                     if size > 8 << 20:
                         yield _rows(rows)
@@ -172,7 +175,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
 
@@ -188,7 +191,7 @@ def write_archives(pages: DataFrame, least: int = 0, root: str | None = None) ->
     where, base = store(root)
     where.create_dir(base, recursive=True)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload).alias("sha"))
+    p = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload).alias("sha"))
     # only payloads that repeat are joined back; their table is small next to the pages, and a hot one is one row
     short = F.octet_length("html") >= least
     again = p.where(short & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("s"), "first")
@@ -199,25 +202,43 @@ def write_archives(pages: DataFrame, least: int = 0, root: str | None = None) ->
     def base32(x: pa.Array) -> pa.Array:
         return pa.array([base64.b32encode(bytes.fromhex(h)).decode() for h in x.to_pylist()], pa.string())
 
-    some = [utf for (utf,) in pages.where(F.length("html") > 0).select(F.substring("html", 1, 1 << 14)).limit(512).collect()]
-    samples = b"".join(s.encode() for s in some)[:SAMPLES]
-    dictionary = samples[-DICTIONARY:]
+    # the dictionary is made of the beginnings of the pages with the smallest ids
+    ids = [r[0] for r in pages.select("page_id").where("page_id is not null").distinct().orderBy("page_id").limit(SAMPLED).collect()]
+    some = pages.where(F.col("page_id").isin(ids)).select("page_id", F.substring("html", 1, 1 << 14).alias("html")).orderBy("page_id", "html").collect() if ids else []
+    dictionary = b"".join((r["html"] or "").encode() for r in some)[:SAMPLES][-DICTIONARY:]
     rows = q.select("page_id", "url", "html", refers.alias("refers"), base32(F.col("sha")).alias("name"))
     return stash(rows.mapInArrow(_write(root, dictionary), "path string"), "warc-paths")
 
 
-def read_archives(paths: DataFrame) -> DataFrame:
+def read_archives(paths: DataFrame, page_id: str = "bigint") -> DataFrame:
     """Every record of the archives, validated: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload).
 
-    A revisit has no payload of its own; that of the page it refers to is equal.
+    Every archive is a task of its own. A revisit has no payload of its own; ``checked`` holds it against the response.
+    ``page_id`` is the type of the ids that were written.
     """
-    kinds = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
-    return paths.repartition("path").mapInArrow(_read, kinds)
+    kinds = "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
+    read = paths.repartition(max(1, paths.count())).mapInArrow(_read, kinds)
+    return read.withColumns({c: F.col(c).cast(page_id) for c in ("page_id", "refers_to")})
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """``records`` without payloads, written and read again, if every revisit names a response of its digest and length.
+
+    Revisits are reduced to one row for each page they name before they meet the responses, so a page that very many
+    revisit is one row.
+    """
+    kept = stash(records.drop("payload"), "warc-records")
+    named = kept.where("record_type = 'revisit'").select(F.col("refers_to").alias("page"), "payload_digest", "payload_bytes").distinct()
+    responses = kept.where("record_type = 'response'").select(F.col("page_id").alias("page"), "payload_digest", "payload_bytes")
+    lost = named.join(responses, ["page", "payload_digest", "payload_bytes"], "left_anti").limit(5).collect()
+    if lost:
+        raise BadRecord(f"revisits of pages that have no such response: {lost}")
+    return kept
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = write_archives(table(spark, sf_dir, "pages"))
-    return read_archives(paths).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read_archives(paths)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The same rows from the pages themselves.
