@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 LINK = r"(!?)\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 TAG = r"#([a-zA-Z0-9_/-]+)"
 FENCE = r"(?s)```.*?```"
-INLINE = r"`[^`\n]+`"
+INLINE = r"`[^`]+`"
 FRONT = r"\A---[ \t]*\n(?s:(.*?)\n)?---[ \t]*(?:\n|\z)"
-JOURNAL_DIR = "geist journal/"
+JOURNAL_DIR = "session journal/"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 

@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: hedge phrases
-HEDGES = """
-    maybe; perhaps; possibly; probably; apparently; seems; appears; suggests; might; could; may; somewhat; rather; fairly; roughly; approximately; in
-    a way; sort of; kind of; i think; i believe; i guess; i suppose; it seems; arguably; presumably
-"""
+HEDGES = (
+    "maybe", "perhaps", "possibly", "probably", "apparently", "seems", "appears", "suggests", "might", "could", "may", "somewhat", "rather", "fairly",
+    "roughly", "approximately", "in a way", "sort of", "kind of", "i think", "i believe", "i guess", "i suppose", "it seems", "arguably",
+    "presumably",
+)
 # fixed values: irregular past forms
-PAST = """
-    arose ate awoke bade beat became befell began beheld bent bet bit bled blew bore bought bound bred broke brought built burnt burst came cast
-    caught chose clung cost crept cut dealt did dove drank drew dreamt drove dug fed fell felt fled flew flung forbade foresaw forgave forgot fought
-    found froze gave got grew ground had heard held hid hit hung hurt kept knelt knew laid lay leant leapt learnt led left lent let lit lost made
-    meant met mistook outgrew overcame overheard oversaw overthrew paid partook put quit ran rang read rebuilt repaid rethought rewrote rid rode rose
-    said sang sank sat saw sent set sewed shed shone shook shot showed shrank shut slept slew slid slung smelt sold sought sowed spat sped spelt spent
-    spilt split spoilt spoke sprang spread spun stank stole stood strode strove struck stuck stung swam swept swore swung taught thought threw thrust
-    told took tore trod undertook underwent understood undid unwound upheld upset was went wept were withdrew withheld withstood woke won wore wound
-    wove wrote wrung
-"""
+PAST = (
+    "arose", "ate", "awoke", "bade", "beat", "became", "befell", "began", "beheld", "bent", "bet", "bit", "bled", "blew", "bore", "bought", "bound",
+    "bred", "broke", "brought", "built", "burnt", "burst", "came", "cast", "caught", "chose", "clung", "cost", "crept", "cut", "dealt", "did", "dove",
+    "drank", "drew", "dreamt", "drove", "dug", "fed", "fell", "felt", "fled", "flew", "flung", "forbade", "foresaw", "forgave", "forgot", "fought",
+    "found", "froze", "gave", "got", "grew", "ground", "had", "heard", "held", "hid", "hit", "hung", "hurt", "kept", "knelt", "knew", "laid", "lay",
+    "leant", "leapt", "learnt", "led", "left", "lent", "let", "lit", "lost", "made", "meant", "met", "mistook", "outgrew", "overcame", "overheard",
+    "oversaw", "overthrew", "paid", "partook", "put", "quit", "ran", "rang", "read", "rebuilt", "repaid", "rethought", "rewrote", "rid", "rode",
+    "rose", "said", "sang", "sank", "sat", "saw", "sent", "set", "sewed", "shed", "shone", "shook", "shot", "showed", "shrank", "shut", "slept",
+    "slew", "slid", "slung", "smelt", "sold", "sought", "sowed", "spat", "sped", "spelt", "spent", "spilt", "split", "spoilt", "spoke", "sprang",
+    "spread", "spun", "stank", "stole", "stood", "strode", "strove", "struck", "stuck", "stung", "swam", "swept", "swore", "swung", "taught",
+    "thought", "threw", "thrust", "told", "took", "tore", "trod", "undertook", "underwent", "understood", "undid", "unwound", "upheld", "upset",
+    "was", "went", "wept", "were", "withdrew", "withheld", "withstood", "woke", "won", "wore", "wound", "wove", "wrote", "wrung",
+)
 # fixed values: token sets
 FUTURE = ("will", "shall", "won't")
 PRESENT = ("is", "are", "am", "be", "being", "do", "does", "has")
@@ -29,14 +33,14 @@ PLURAL = ("we", "us", "our", "ours", "ourselves")
 SECOND = ("you", "your", "yours", "yourself", "yourselves")
 MODALS = ("might", "could", "may", "would", "should")
 
-HEDGE_LIST = sorted((" ".join(x.split()) for x in HEDGES.split(";")), key=lambda x: (-len(x), x))
-PAST_LIST = PAST.split()
+HEDGE_LIST = sorted(HEDGES, key=lambda x: (-len(x), x))
+PAST_LIST = list(PAST)
 
 
 def for_analysis(content: Column) -> Column:
     """Text without front matter, fenced and inline code and addresses; each leaves a space."""
     out = F.regexp_replace(content, r"\A---[ \t]*\n(?s:.*?)\n---[ \t]*(?:\n|\z)", " ")
-    for pattern in (r"(?ms)^(```|~~~).*?^\1", r"`[^`\n]+`", r"https?://\S+"):
+    for pattern in (r"(?ms)^(```|~~~).*?^\1", r"`[^`\n]+`", r"(?:https?://|www\.)\S+"):
         out = F.regexp_replace(out, pattern, " ")
     return out
 

@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import markdown as M
+from driftwell.storage import stash
 
 # fixed patterns of what is extracted
-QUESTIONS = (r"[^.!?\n][^.!?]*\?", r"(?m)^[ \t]*[-*+][ \t]+(.+\?)[ \t]*$")
-DEFINITIONS = (r"(?m)^([^.\n]+?)\s+is\s+(?:defined as|a|an)\s+([^.\n]+\.?)", r"(?m)^\s*[-*+]?\s*\*\*([^:*]+)\*\*:\s*([^.\n]+\.?)", r"(?m)^([^.\n]+?)\s+means\s+([^.\n]+\.?)", r"(?m)^([^.\n]+?)\s+refers to\s+([^.\n]+\.?)")
-CLAIMS = (r"(?i)[^.\n]+?\b(?:shows?|proves?|demonstrates?|establishes?|confirms?)\b[^.\n]+\.", r"(?i)(?:Research|Studies|Evidence|Data)\s+(?:shows?|suggests?|indicates?)[^.\n]+\.", r"(?i)[^.\n]+?\b(?:causes?|leads to|results in)\b[^.\n]+\.")
+QUESTIONS = (r"[^.!?\n][^.!?]*\?", r"(?m)^\s*[-*+]\s+(.+\?)\s*$")
+DEFINITIONS = (r"(?mi)^([^.\n]+?)\s+is\s+(?:defined as|a|an)\s+([^.\n]+\.?)", r"(?m)^\s*[-*+]?\s*\*\*([^:*]+)\*\*:\s*([^.\n]+\.?)", r"(?mi)^([^.\n]+?)\s+means\s+([^.\n]+\.?)", r"(?mi)^([^.\n]+?)\s+refers to\s+([^.\n]+\.?)")
+# what stands between a term and its meaning, by pattern
+JOINTS = (" is ", ": ", " means ", " refers to ")
+CLAIMS = (r"(?i)[^.\n]*?\b(?:shows?|proves?|demonstrates?|establishes?|confirms?)\b[^.\n]+\.", r"(?i)(?:Research|Studies|Evidence|Data)\s+(?:shows?|suggests?|indicates?)[^.\n]+\.", r"(?i)[^.\n]+?\b(?:causes?|leads to|results in)\b[^.\n]+\.")
 HYPOTHESES = (r"(?i)If\s+[^.\n]+?,?\s+then\s+[^.\n]+\.", r"(?i)[^.\n]+?\b(?:may|might|could)\b[^.\n]+\.", r"(?i)[^.\n]+?\bwould\b[^.\n]+if[^.\n]+\.")
 TODO = r"(?i)(TODO|FIXME|HACK|NOTE|XXX):\s*([^.\n]+(?:\.[^\n]+)?)"
 PLACEHOLDERS = ("add content", "write this", "fill in", "update")
+COMMON = ("the", "and", "but", "with", "from", "this", "that")
 STOPS = ("the ", " of ", " and ", " to ", " in ", " is ", " a ")
 
 
@@ -40,11 +44,12 @@ def questions(notes: DataFrame, shortest: int = 10, longest: int = 500) -> DataF
 
 
 def definitions(notes: DataFrame, shortest: int = 15, longest: int = 300) -> DataFrame:
-    """Items read ``term: meaning``."""
+    """Items read ``term is meaning``, by the pattern that found them."""
     text, parts = M.without_code(F.col("content")), []
-    for p in DEFINITIONS:
+    joined = lambda joint: lambda a, b: F.concat(a, F.lit(joint), b)
+    for p, joint in zip(DEFINITIONS, JOINTS, strict=True):
         terms, meanings = (F.regexp_extract_all(text, F.lit(p), F.lit(k)) for k in (1, 2))
-        parts.append(F.zip_with(terms, meanings, lambda a, b: F.concat(F.btrim(a), F.lit(": "), F.btrim(b))))
+        parts.append(F.zip_with(terms, meanings, joined(joint)))
     found = notes.select("path", F.posexplode(F.flatten(F.array(*parts))).alias("position", "item"))
     return _unique(found, shortest, longest, ~F.col("item").rlike(r"^(?:This|That|It|There)\b"))
 
@@ -80,11 +85,36 @@ def quotes(notes: DataFrame) -> DataFrame:
     return d.withColumn("item", F.when(F.length("item") > 500, F.concat(F.substring("item", 1, 497), F.lit("..."))).otherwise(F.col("item")))
 
 
-def phrases(notes: DataFrame, least: int = 3) -> DataFrame:
-    """(phrase, n, notes): three words in a row that recur; short ones and those with a stop word are left out."""
+def grams(notes: DataFrame, unless: tuple[str, ...]) -> DataFrame:
+    """(path, phrase): three words in a row of more than 15 characters without any of ``unless``, tested inside the array."""
     w = notes.select("path", M.words(F.lower("content")).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    g = w.where(F.size("w") >= 3).select("path", F.explode(grams).alias("phrase")).where(F.length("phrase") > 15)
-    for s in STOPS:
-        g = g.where(~F.contains("phrase", F.lit(s)))
-    return g.groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("path").alias("notes")).where(F.col("n") >= least)
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
+
+    def fits(p: Column) -> Column:
+        out = F.length(p) > 15
+        for s in unless:
+            out = out & ~F.contains(p, F.lit(s))
+        return out
+
+    return w.where(F.size("w") >= 3).select("path", F.explode(F.filter(three, fits)).alias("phrase"))
+
+
+def phrases(notes: DataFrame, least: int = 3) -> DataFrame:
+    """(phrase, n, notes): three words in a row that recur; short ones and those with a stop word are left out.
+
+    Occurrences are added by note first, so one aggregation by phrase does not carry paths.
+    """
+    g = grams(notes, STOPS).groupBy("phrase", "path").agg(F.count("*").alias("k"))
+    return g.groupBy("phrase").agg(F.sum("k").alias("n"), F.count("*").alias("notes")).where(F.col("n") >= least)
+
+
+def shared_phrases(notes: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """(phrase, n, notes): phrases that stand ``least`` times or more in notes not linked with another note that has them."""
+    g = grams(notes, COMMON).groupBy("phrase", "path").agg(F.count("*").alias("k"))
+    often = g.groupBy("phrase").agg(F.sum("k").alias("n")).where(F.col("n") >= least).select("phrase")
+    g = stash(g.join(often, "phrase", "left_semi"), "phrases")
+    p = pairs.select("a", "b")
+    one = g.select("phrase", F.col("path").alias("a")).join(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a")
+    linked = one.join(g.select("phrase", F.col("path").alias("b")), ["phrase", "b"]).select("phrase", F.col("a").alias("path")).distinct()
+    alone = g.join(linked, ["phrase", "path"], "left_anti")
+    return alone.groupBy("phrase").agg(F.sum("k").alias("n"), F.count("*").alias("notes")).where(F.col("n") >= least)

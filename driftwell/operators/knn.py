@@ -1,8 +1,9 @@
 """Exact nearest neighbours and similar pairs by blocked matrix products.
 
 Vectors are cut into blocks; every block of rows meets every block of columns in one task, whose product yields only
-what its consumer keeps (a row's best ``k``, or pairs above a threshold). Work grows with the square of the vectors, as
-exact search must; memory and shuffle are bounded by the block, not by the table.
+what its consumer keeps (a row's best ``k``, pairs above a threshold, or counts of them). Memory is bounded by the block.
+Work grows with the square of the vectors, as exact search must, and so does the shuffle: each vector travels once for
+every block it meets, ``N / BLOCK`` times. Where both sides are one table each pair of blocks meets once.
 """
 
 from __future__ import annotations
@@ -55,6 +56,14 @@ def blocked(rows: DataFrame, columns: DataFrame, count: int | None = None, block
     return a.unionByName(b)
 
 
+def met_once(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, side, path, embedding) with i <= j: every two blocks of one table meet in one task; within a block all rows have side 0."""
+    n = max(1, math.ceil(vectors.count() / block))
+    home = F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
+    d = vectors.select(home.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"), "path", "embedding")
+    return d.select(F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), (F.col("h") > F.col("o")).cast("int").alias("side"), "path", "embedding")
+
+
 def best(rows: DataFrame, columns: DataFrame, k: int, farthest: bool = False, block: int = BLOCK) -> DataFrame:
     """(path, neighbour, sim, rank) of each row's ``k`` nearest columns, itself apart; equally near ones by path."""
 
@@ -92,16 +101,19 @@ def pairs_above(vectors: DataFrame, least: float, most: float = 2.0, block: int
 
     def product(table: pa.Table) -> pa.Table:
         (a, x), (b, y) = _matrix(table, 0), _matrix(table, 1)
+        own = table["i"][0].as_py() == table["j"][0].as_py()
+        b, y = (a, x) if own else (b, y)
         one, two, sim = [], [], []
         if a and b:
             s = x @ y.T
             names_a, names_b = np.array(a, object), np.array(b, object)
-            r, c = np.nonzero((s >= least - 1e-12) & (s <= most + 1e-12))
-            keep = names_a[r] < names_b[c]
-            one, two, sim = names_a[r][keep].tolist(), names_b[c][keep].tolist(), s[r, c][keep].tolist()
+            fits = (s >= least - 1e-12) & (s <= most + 1e-12)
+            r, c = np.nonzero(np.triu(fits, 1) if own else fits)
+            turn = names_a[r] > names_b[c]
+            one, two, sim = np.where(turn, names_b[c], names_a[r]).tolist(), np.where(turn, names_a[r], names_b[c]).tolist(), s[r, c].tolist()
         return pa.table({"a": pa.array(one, pa.string()), "b": pa.array(two, pa.string()), "sim": pa.array(sim, pa.float64())})
 
-    return blocked(vectors, vectors, block=block).groupBy("i", "j").applyInArrow(product, "a string, b string, sim double")
+    return met_once(vectors, block).groupBy("i", "j").applyInArrow(product, "a string, b string, sim double")
 
 
 def similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", clip: bool = True) -> DataFrame:
@@ -112,6 +124,27 @@ def similarity(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b",
     return out.withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sim)) if clip else sim).drop("__p1", "__e1", "__p2", "__e2")
 
 
+def mean_alike(groups: DataFrame, block: int = 1024) -> DataFrame:
+    """(a, alike): over the members of each group ``a`` (a, path, embedding), the mean of all pairs' cosines, negative ones as 0.
+
+    Members are dealt to blocks that meet once each, so a group of any size is many small tasks. Groups of one are left out.
+    """
+    sized = groups.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    d = groups.join(sized, "a").withColumn("h", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("a", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), (F.col("h") > F.col("o")).cast("int").alias("side"), "path", "embedding")
+
+    def summed(table: pa.Table) -> pa.Table:
+        (a, x), (b, y) = _matrix(table, 0), _matrix(table, 1)
+        if table["i"][0].as_py() == table["j"][0].as_py():
+            total = float(np.triu(np.clip(x @ x.T, 0, 1), 1).sum())
+        else:
+            total = float(np.clip(x @ y.T, 0, 1).sum()) if a and b else 0.0
+        return pa.table({"a": table["a"][:1], "s": pa.array([total])})
+
+    s = d.groupBy("a", "i", "j").applyInArrow(summed, "a string, s double").groupBy("a").agg(F.sum("s").alias("s"))
+    return s.join(sized, "a").select("a", (2 * F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("alike"))
+
+
 def surprisal(vectors: DataFrame, k: int = 10, neighbours: DataFrame | None = None) -> DataFrame:
     """(path, surprisal): 1 - cosine of a vector and the mean of its k nearest unit vectors; empty if there are too few."""
     near = nearest(vectors, k) if neighbours is None else neighbours.where(F.col("rank") <= k)
@@ -137,9 +170,19 @@ def neighbour_churn(now: DataFrame, past: DataFrame, k: int = 10) -> DataFrame:
 
 def profile(vectors: DataFrame, near: float = 0.65) -> DataFrame:
     """(path, above, in_range, hub): how many others are alike at least ``near``, how many between .35 and .65."""
-    p = pairs_above(vectors, 0.35)
-    each = p.select(F.col("a").alias("path"), "sim").unionByName(p.select(F.col("b").alias("path"), "sim"))
-    n = each.groupBy("path").agg(F.count_if(F.col("sim") >= near).alias("above"), F.count_if((F.col("sim") >= 0.35) & (F.col("sim") <= 0.65)).alias("in_range"))
+
+    def counted(table: pa.Table) -> pa.Table:
+        (a, x), (b, y) = _matrix(table, 0), _matrix(table, 1)
+        own = table["i"][0].as_py() == table["j"][0].as_py()
+        s = x @ (x if own else y).T if a and (own or b) else np.zeros((len(a), 0 if own else len(b)))
+        if own:
+            np.fill_diagonal(s, -2.0)
+        high, mid = s >= near, (s >= 0.35) & (s <= 0.65)
+        names = a if own else a + b
+        n = [np.concatenate((m.sum(axis=1), m.sum(axis=0)[: 0 if own else len(b)])) for m in (high, mid)]
+        return pa.table({"path": pa.array(names, pa.string()), "above": pa.array(n[0], pa.int64()), "in_range": pa.array(n[1], pa.int64())})
+
+    n = met_once(vectors).groupBy("i", "j").applyInArrow(counted, "path string, above bigint, in_range bigint").groupBy("path").agg(F.sum("above").alias("above"), F.sum("in_range").alias("in_range"))
     return vectors.select("path").join(n, "path", "left").na.fill(0).withColumn("hub", F.col("above") >= 10)
 
 

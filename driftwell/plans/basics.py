@@ -15,7 +15,7 @@ from driftwell.plans.registry import Corpus, query
 from driftwell.sources import vault
 
 SESSION = "2024-07-01"
-NJ = "path NOT LIKE 'geist journal/%'"
+NJ = "path NOT LIKE 'session journal/%'"
 # ruff: noqa: D103
 
 
@@ -129,7 +129,7 @@ def k_hop(c: Corpus) -> DataFrame:
 
 @query()
 def shortest_path(c: Corpus) -> DataFrame:
-    return G.shortest_path(c.directed, "doc/5.md", "doc/10.md")
+    return G.shortest_path(c.directed, "doc/5.md", "doc/10.md").withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("SELECT b.path, coalesce(c.component, b.path) AS component FROM notes b LEFT JOIN (SELECT path, min(root) AS component FROM (WITH RECURSIVE r(path, root) AS (SELECT a, a FROM twoway UNION SELECT e.b, r.root FROM r JOIN twoway e ON e.a = r.path WHERE r.root < e.b) SELECT * FROM r) GROUP BY path) c ON b.path = c.path", "notes", "twoway")
@@ -173,7 +173,7 @@ def metadata_profile(c: Corpus) -> DataFrame:
     return m.join(q).select("path", F.when(F.col("word_count") >= F.col("hi"), "high").when(F.col("word_count") <= F.col("lo"), "low").otherwise("moderate").alias("level"))
 
 
-TOK = r"t0 AS (SELECT path, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(content, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), 'https?://\S+', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+(?:''[\p{L}\p{M}\p{N}_]+)*') AS w FROM notes), t AS (SELECT path, len(w) AS n, len(list_filter(w, lambda x: x IN ('i', 'me', 'my', 'mine', 'myself'))) AS one, len(list_filter(w, lambda x: x IN ('we', 'us', 'our', 'ours', 'ourselves'))) AS two, len(list_filter(w, lambda x: x IN ('you', 'your', 'yours', 'yourself', 'yourselves'))) AS you, len(list_filter(w, lambda x: x IN ('might', 'could', 'may', 'would', 'should'))) AS modal, len(list_distinct(w)) AS d FROM t0) ;; "
+TOK = r"t0 AS (SELECT path, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(content, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), '(https?://|www\.)\S+', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+(?:''[\p{L}\p{M}\p{N}_]+)*') AS w FROM notes), t AS (SELECT path, len(w) AS n, len(list_filter(w, lambda x: x IN ('i', 'me', 'my', 'mine', 'myself'))) AS one, len(list_filter(w, lambda x: x IN ('we', 'us', 'our', 'ours', 'ourselves'))) AS two, len(list_filter(w, lambda x: x IN ('you', 'your', 'yours', 'yourself', 'yourselves'))) AS you, len(list_filter(w, lambda x: x IN ('might', 'could', 'may', 'would', 'should'))) AS modal, len(list_distinct(w)) AS d FROM t0) ;; "
 
 
 @query(TOK + "SELECT path, round(CASE WHEN n > 0 THEN 100 * one / n ELSE 0 END, 6) AS singular, round(CASE WHEN n > 0 THEN 100 * two / n ELSE 0 END, 6) AS plural, round(CASE WHEN n > 0 THEN 100 * you / n ELSE 0 END, 6) AS second, round(CASE WHEN n > 0 THEN 100 * modal / n ELSE 0 END, 6) AS modals, round(CASE WHEN one + two > 0 THEN one / (one + two) ELSE 0.5 END, 6) AS self_focus, round(CASE WHEN n > 0 THEN d / n ELSE 0 END, 6) AS variety FROM t", "notes")
@@ -193,7 +193,8 @@ def voice_tense(c: Corpus) -> DataFrame:
 
 @query()
 def voice_sentences(c: Corpus) -> DataFrame:
-    return V.voice(c.notes).select("path", "voice.mean_sentence_length", "voice.sentence_length_variance", "voice.hedging_ratio", "voice.question_density", "voice.orientation")
+    v = V.voice(c.notes)
+    return v.select("path", *[F.round(f"voice.{k}", 6).alias(k) for k in ("mean_sentence_length", "sentence_length_variance", "hedging_ratio", "question_density")], "voice.orientation")
 
 
 @query("SELECT path FROM notes ORDER BY modified, path LIMIT 10", "notes")
@@ -273,7 +274,7 @@ SUGGESTED = "s AS (SELECT doc_id AS ord, CASE WHEN doc_id % 9 = 0 THEN 'short' E
 
 @query(SUGGESTED + "SELECT ord, text FROM s WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(s.refs) AS ref) u WHERE u.ref NOT IN (SELECT title FROM own))", "own")
 def boundary_filter(c: Corpus) -> DataFrame:
-    return S.boundary(suggestions(c), c.notes, ("geist journal/",)).select("ord", "text")
+    return S.boundary(suggestions(c), c.notes, ("session journal/",)).select("ord", "text")
 
 
 @query(SUGGESTED + "SELECT min(ord) AS ord, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord) AS k FROM s WHERE length(text) BETWEEN 10 AND 2000) WHERE k = 1 AND len(refs) > 0 GROUP BY text", "own")
@@ -292,10 +293,10 @@ def select_suggestions(c: Corpus) -> DataFrame:
     return S.select(suggestions(c)).select("ord", "text")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS notes, CAST(count(*) FILTER (path LIKE 'geist journal/%') AS BIGINT) AS journal, round(avg(DATE '2024-07-01' - created), 6) AS mean_age, strftime(max(modified), '%Y-%m-%d') AS newest, strftime(min(created), '%Y-%m-%d') AS oldest FROM notes", "notes")
+@query("SELECT CAST(count(*) AS BIGINT) AS notes, CAST(count(*) FILTER (path LIKE 'session journal/%') AS BIGINT) AS journal, round(avg(DATE '2024-07-01' - created), 6) AS mean_age, strftime(max(modified), '%Y-%m-%d') AS newest, strftime(min(created), '%Y-%m-%d') AS oldest FROM notes", "notes")
 def note_stats(c: Corpus) -> DataFrame:
     age = F.datediff(F.lit(SESSION).cast("date"), F.col("created").cast("date"))
-    return c.notes.agg(F.count("*").alias("notes"), F.count_if(F.col("path").startswith("geist journal/")).alias("journal"), F.round(F.avg(age), 6).alias("mean_age"), F.date_format(F.max("modified"), "yyyy-MM-dd").alias("newest"), F.date_format(F.min("created"), "yyyy-MM-dd").alias("oldest"))
+    return c.notes.agg(F.count("*").alias("notes"), F.count_if(F.col("path").startswith("session journal/")).alias("journal"), F.round(F.avg(age), 6).alias("mean_age"), F.date_format(F.max("modified"), "yyyy-MM-dd").alias("newest"), F.date_format(F.min("created"), "yyyy-MM-dd").alias("oldest"))
 
 
 @query("SELECT count(DISTINCT tag) AS tags, count(*) AS uses, round(count(*) / (SELECT count(*) FROM notes), 6) AS per_note FROM tags", "notes", "tags")
@@ -311,32 +312,32 @@ def top_tags(c: Corpus) -> DataFrame:
 
 @query()
 def questions(c: Corpus) -> DataFrame:
-    return X.questions(c.notes)
+    return X.questions(c.notes).select("path", F.col("position").cast("bigint").alias("position"), "item")
 
 
-@query(r"SELECT path, concat('TODO: ', trim(regexp_extract(content, 'TODO:\s*([^.\n]+)', 1))) AS item FROM notes WHERE doc_id % 8 = 1", "notes")
+@query()
 def todos(c: Corpus) -> DataFrame:
     return X.todos(c.notes).select("path", "item")
 
 
-@query("SELECT path, concat('quoted words from document ', doc_id) AS item FROM notes WHERE doc_id % 9 = 2", "notes")
+@query()
 def quotes(c: Corpus) -> DataFrame:
     return X.quotes(c.notes).select("path", "item")
 
 
 @query()
 def definitions(c: Corpus) -> DataFrame:
-    return X.definitions(c.notes)
+    return X.definitions(c.notes).select("path", F.col("position").cast("bigint").alias("position"), "item")
 
 
 @query()
 def claims(c: Corpus) -> DataFrame:
-    return X.claims(c.notes)
+    return X.claims(c.notes).select("path", F.col("position").cast("bigint").alias("position"), "item")
 
 
 @query()
 def hypotheses(c: Corpus) -> DataFrame:
-    return X.hypotheses(c.notes)
+    return X.hypotheses(c.notes).select("path", F.col("position").cast("bigint").alias("position"), "item")
 
 
 @query(r"g AS (SELECT path, unnest(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) AS phrase FROM (SELECT path, list_filter(string_split_regex(lower(content), '[ \t\n\x0B\f\r]+'), lambda t: t <> '') AS w FROM own) WHERE len(w) >= 3) ;; SELECT phrase, count(*) AS n, count(DISTINCT path) AS notes FROM g WHERE length(phrase) > 15 AND NOT (contains(phrase, 'the ') OR contains(phrase, ' of ') OR contains(phrase, ' and ') OR contains(phrase, ' to ') OR contains(phrase, ' in ') OR contains(phrase, ' is ') OR contains(phrase, ' a ')) GROUP BY phrase HAVING count(*) >= 3", "own")

@@ -21,23 +21,23 @@ from driftwell.storage import stash
 
 # ruff: noqa: D103
 SESSION = "2024-07-01"
-HIGH, MODERATE, WEAK, NOISE = 0.65, 0.50, 0.35, 0.15
+VERY_HIGH, HIGH, MODERATE, WEAK, NOISE = 0.80, 0.65, 0.50, 0.35, 0.15
 # fixed values: word lists of the keyword predicates; all are substrings
-CLAIMS = "is, are, must, should, always, never, will, cannot, impossible, necessary, essential, fundamental, critical, key, important, proves".split(", ")
-NEGATIONS = "not, no, never, contra, anti, against, opposite, reverse".split(", ")
-CERTAIN = "obviously, clearly, of course, everyone knows, it is well known, naturally, needless to say, without a doubt, certainly, undoubtedly, must be, has to, necessarily, always".split(", ")
-DOUBTFUL = "maybe, perhaps, might, could be, possibly, uncertain, unclear, debatable, questionable, depends, varies, sometimes".split(", ")
-CAUSAL = "because, therefore, thus, hence, leads to, results in, causes, due to".split(", ")
-ASSERTIONS = ["all ", "never ", "always ", "must ", "should ", "is ", "are "]
-POSITIVE = "always, all, must, should".split(", ")
-NEGATIVE = "never, no, not, cannot, but, however, except".split(", ")
-ABSTRACT = "theory, principle, concept, framework, paradigm, model, pattern, system, structure, abstract, general, universal, category, class".split(", ")
-CONCRETE = "example, case, instance, specific, particular, detail, concrete, actual, practical, real, individual, tangible, implementation".split(", ")
+CLAIMS = ("is", "are", "must", "should", "always", "never", "will", "cannot", "impossible", "necessary", "essential", "fundamental", "critical", "key", "important", "proves")
+NEGATIONS = ("not", "no", "never", "contra", "anti", "against", "opposite", "reverse")
+CERTAIN = ("obviously", "clearly", "of course", "everyone knows", "it is well known", "naturally", "needless to say", "without a doubt", "certainly", "undoubtedly", "must be", "has to", "necessarily", "always")
+DOUBTFUL = ("maybe", "perhaps", "might", "could be", "possibly", "uncertain", "unclear", "debatable", "questionable", "depends", "varies", "sometimes")
+CAUSAL = ("because", "therefore", "thus", "hence", "leads to", "results in", "causes", "due to")
+ASSERTIONS = ("all ", "never ", "always ", "must ", "should ", "is ", "are ")
+POSITIVE = ("always", "all", "must", "should")
+NEGATIVE = ("never", "no", "not", "cannot", "but", "however", "except")
+ABSTRACT = ("theory", "principle", "concept", "framework", "paradigm", "model", "pattern", "system", "structure", "abstract", "general", "universal", "category", "class")
+CONCRETE = ("example", "case", "instance", "specific", "particular", "detail", "concrete", "actual", "practical", "real", "individual", "tangible", "implementation")
 
-META = "m AS (SELECT x.*, (SELECT count(*) FROM backlinks b WHERE b.path = x.path) AS back FROM meta x WHERE path NOT LIKE 'geist journal/%') ;; "
+META = "m AS (SELECT x.*, (SELECT count(*) FROM backlinks b WHERE b.path = x.path) AS back FROM meta x WHERE path NOT LIKE 'session journal/%') ;; "
 
 
-def hits(text: Column, words: list[str]) -> Column:
+def hits(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words the text has, as substrings."""
     out = F.lit(0)
     for w in words:
@@ -97,10 +97,10 @@ def link_density_analyser(c: Corpus) -> DataFrame:
     return one(d.withColumn("density", F.when(F.col("per") > 5, "many").otherwise("few")), "word_count", "link_count", "density")
 
 
-@query("b AS (SELECT x.*, (SELECT count(*) FROM backlinks k WHERE k.path = x.path) AS back, (SELECT count(*) FROM notes) AS n FROM meta x) ;; SELECT path AS a, CAST(word_count AS BIGINT) AS word_count, CASE WHEN (link_count + 2 * back) / n > 0.01 AND word_count < 100 THEN 'thin' ELSE 'long' END AS kind FROM b WHERE ((link_count + 2 * back) / n > 0.01 AND word_count < 100) OR ((link_count + 2 * back) / n < 0.005 AND word_count > 300 AND link_count < 2)", "meta", "backlinks", "notes")
+@query("b AS (SELECT x.*, (SELECT count(*) FROM backlinks k WHERE k.path = x.path) AS back, (SELECT count(*) FROM notes) AS n FROM meta x) ;; SELECT path AS a, CAST(word_count AS BIGINT) AS word_count, CASE WHEN (link_count + 2 * back) / n > 0.1 AND word_count < 100 THEN 'thin' ELSE 'long' END AS kind FROM b WHERE ((link_count + 2 * back) / n > 0.1 AND word_count < 100) OR ((link_count + 2 * back) / n < 0.05 AND word_count > 300 AND link_count < 2)", "meta", "backlinks", "notes")
 def complexity_mismatch(c: Corpus) -> DataFrame:
-    """Importance is (links + 2 backlinks) / N; its bounds are parameters, .01 and .005 suit sparse graphs."""
-    return complexity(c, 0.01, 0.005)
+    """Importance is (links + 2 backlinks) / N; its bounds are parameters."""
+    return complexity(c)
 
 
 def complexity(c: Corpus, high: float = 0.1, low: float = 0.05) -> DataFrame:
@@ -133,7 +133,7 @@ def metadata_driven_discovery(c: Corpus) -> DataFrame:
 def metadata_outlier_detector(c: Corpus) -> DataFrame:
     m = V.metadata(c.notes).select("path", "word_count")
     s = F.broadcast(m.agg(F.avg("word_count").alias("m"), F.stddev_pop("word_count").alias("s"), F.percentile("word_count", F.lit(0.5)).alias("median")))
-    return one(m.join(s).where("s > 1e-10 AND abs((word_count - m) / s) > 2"), "word_count", "median")
+    return one(m.join(s).where("s > 1e-10 AND abs((word_count - m) / s) > 2"), F.col("word_count").cast("bigint").alias("word_count"), "median")
 
 
 def kind_of_text(content: Column) -> Column:
@@ -186,6 +186,7 @@ def burst_evolution(c: Corpus) -> DataFrame:
     """Days on which three notes or more began, with how far these have drifted since."""
     d = c.own_notes.select("path", F.date_format("created", "yyyy-MM-dd").alias("day")).join(T.total_drift(c.sessions).select("path", "drift"), "path")
     g = d.groupBy("day").agg(F.count("*").alias("n"), F.avg("drift").alias("drift")).where("n >= 3")
+    g = g.withColumn("drift", F.round("drift", 6))
     return g.withColumn("label", F.when(F.col("drift") > 0.45, "transformed").when(F.col("drift") < 0.15, "stable").otherwise("evolving"))
 
 
@@ -202,7 +203,7 @@ def temporal_clustering(c: Corpus) -> DataFrame:
     unit = v.select("bin", "path", F.transform("embedding", lambda x: x / K.norm(F.col("embedding"))).alias("embedding"))
     g = T._elementwise_mean(unit, "bin").join(unit.groupBy("bin").agg(F.count("*").alias("n")), "bin").where("n >= 5")
     # the mean of all pairs follows from the mean vector's length
-    return g.select("bin", "n", F.round((F.col("n") * K.dot(F.col("mean"), F.col("mean")) - 1) / (F.col("n") - 1), 9).alias("sim")).where("sim > 0.5")
+    return g.select("bin", "n", F.round((F.col("n") * K.dot(F.col("mean"), F.col("mean")) - 1) / (F.col("n") - 1), 6).alias("sim")).where("sim > 0.5")
 
 
 @query("SELECT CAST(month(created) AS INT) AS month, count(*) AS n, count(DISTINCT year(created)) AS years FROM own GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT year(created)) >= 2", "own")
@@ -216,7 +217,7 @@ def seasonal_topic_analysis(c: Corpus) -> DataFrame:
     now = c.own_notes.where(V.season(F.col("created")) == V.season(day())).select("path", "created")
     v = c.vectors.join(now, "path")
     anchor = v.orderBy("created", "path").limit(1).select("path", "embedding")
-    return K.anchored(v.select("path", "embedding"), anchor).where("most >= 0.6").select(F.col("path").alias("a"), F.col("most").alias("sim"))
+    return K.anchored(v.select("path", "embedding"), anchor).where("most >= 0.6").select(F.col("path").alias("a"), F.round("most", 6).alias("sim"))
 
 
 @query()
@@ -227,7 +228,7 @@ def anachronism_detector(c: Corpus) -> DataFrame:
     few = lambda x, s: L.sampled(x, "path", 10, s).select("path", "embedding")
     a = K.anchored(recent.select("path", "embedding"), few(old, "old")).select("path", F.col("most").alias("old"))
     b = K.anchored(recent.select("path", "embedding"), few(recent, "new")).select("path", F.col("mean").alias("now"))
-    return one(a.join(b, "path").where("old > now + 0.15"), "old", "now")
+    return one(a.join(b, "path").where("old > now + 0.15"), F.round("old", 6).alias("old"), F.round("now", 6).alias("now"))
 
 
 @query(META + "SELECT path AS a, neighbour AS b FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank) AS k FROM (SELECT k.* FROM knn k JOIN (SELECT path FROM own ORDER BY modified DESC, path LIMIT 10) r ON r.path = k.path JOIN notes n ON n.path = k.neighbour WHERE DATE '2024-07-01' - n.modified > 60)) WHERE k = 1", "meta", "backlinks", "knn", "own", "notes")
@@ -245,15 +246,15 @@ def blind_spot_detector(c: Corpus) -> DataFrame:
     v = c.vectors.select("path", "embedding")
     far = K.best(v.join(F.broadcast(recent.select("path")), "path", "left_semi"), v, 1, farthest=True).select(F.col("path").alias("a"), F.col("neighbour").alias("b"))
     m = meta(c, own=False).select(F.col("path").alias("b"), "days_since_modified", "in_links")
-    return pair(far.join(m, "b").where("days_since_modified > 180 OR in_links = 0"), "days_since_modified", "in_links")
+    return pair(far.join(m, "b").where("days_since_modified > 180 OR in_links = 0"), F.col("days_since_modified").cast("int").alias("days_since_modified"), F.col("in_links").cast("bigint").alias("in_links"))
 
 
 # graph and vectors
 
 
-@query("h AS (SELECT path, count(DISTINCT source_path) AS n FROM backlinks GROUP BY path ORDER BY n DESC, path LIMIT 10) ;; SELECT k.path AS a, k.neighbour AS b FROM knn k JOIN h ON h.path = k.path WHERE k.sim > 0.2 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = least(k.path, k.neighbour) AND e.b = greatest(k.path, k.neighbour))", "backlinks", "knn", "edges")
+@query("h AS (SELECT path, count(DISTINCT source_path) AS n FROM backlinks GROUP BY path ORDER BY n DESC, path LIMIT 10) ;; SELECT k.path AS a, k.neighbour AS b FROM knn k JOIN h ON h.path = k.path WHERE k.sim > 0.65 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = least(k.path, k.neighbour) AND e.b = greatest(k.path, k.neighbour))", "backlinks", "knn", "edges")
 def bridge_builder(c: Corpus) -> DataFrame:
-    return hub_bridges(c, 0.2)
+    return hub_bridges(c)
 
 
 def hub_bridges(c: Corpus, least: float = HIGH) -> DataFrame:
@@ -278,9 +279,9 @@ def load_bearing_bridge(c: Corpus) -> DataFrame:
     return G.bridges(c.edges, K.pairs_above(c.vectors, 0.3), 0.3).groupBy(F.col("bridge").alias("a")).agg(F.count("*").alias("pairs"))
 
 
-@query("d AS (SELECT n.path, (SELECT count(*) FROM links l WHERE l.source_path = n.path) + (SELECT count(*) FROM backlinks b WHERE b.path = n.path) AS deg FROM notes n), x AS (SELECT a AS path, count(*) AS n FROM cross_ WHERE sim > 0.2 GROUP BY a) ;; SELECT d.path AS a, least(x.n, 30) AS alike, CAST(d.deg AS BIGINT) AS links FROM d JOIN x ON d.path = x.path WHERE x.n > 10 AND d.deg < 5", "notes", "links", "backlinks", "cross_")
+@query("d AS (SELECT n.path, (SELECT count(*) FROM links l WHERE l.source_path = n.path) + (SELECT count(*) FROM backlinks b WHERE b.path = n.path) AS deg FROM notes n), x AS (SELECT a AS path, count(*) AS n FROM cross_ WHERE sim > 0.65 GROUP BY a) ;; SELECT d.path AS a, least(x.n, 30) AS alike, CAST(d.deg AS BIGINT) AS links FROM d JOIN x ON d.path = x.path WHERE x.n > 10 AND d.deg < 5", "notes", "links", "backlinks", "cross_")
 def hidden_hub(c: Corpus) -> DataFrame:
-    return quiet_hubs(c, 0.2)
+    return quiet_hubs(c)
 
 
 def quiet_hubs(c: Corpus, least: float = HIGH, wide: int = 30) -> DataFrame:
@@ -307,25 +308,23 @@ def island_hopper(c: Corpus) -> DataFrame:
 @query()
 def density_inversion(c: Corpus) -> DataFrame:
     """Notes whose neighbours are linked with one another and unlike, or alike and not linked."""
-    e = L.both_ways(c.edges)
-    unit = c.vectors.select("path", F.transform("embedding", lambda x: x / K.norm(F.col("embedding"))).alias("embedding"))
-    n = e.join(unit.withColumnRenamed("path", "b"), "b").select("a", "embedding")
-    m = T._elementwise_mean(n, "a").join(n.groupBy("a").agg(F.count("*").alias("n")), "a").where("n >= 3")
-    sem = m.select(F.col("a").alias("path"), ((F.col("n") * K.dot(F.col("mean"), F.col("mean")) - 1) / (F.col("n") - 1)).alias("alike"))
+    n = L.both_ways(c.edges).join(c.vectors.select(F.col("path").alias("b"), "embedding"), "b").select("a", F.col("b").alias("path"), "embedding")
+    three = n.groupBy("a").agg(F.count("*").alias("n")).where("n >= 3").select("a")
+    sem = K.mean_alike(n.join(three, "a", "left_semi")).withColumnRenamed("a", "path")
     d = G.neighbourhood_density(c.edges).join(sem, "path").where("(density > 0.6 AND alike < 0.3) OR (density < 0.3 AND alike > 0.6)")
-    return one(d, "density", "alike")
+    return one(d, F.round("density", 6).alias("density"), F.round("alike", 6).alias("alike"))
 
 
-@query("k AS (SELECT path, neighbour, sim FROM knn WHERE rank <= 3), s AS (SELECT path, sum(sim) AS s, count(*) AS n FROM k GROUP BY path), q AS (SELECT x.path, sum(list_cosine_similarity(v1.e, v2.e)) AS s FROM k x JOIN k y ON x.path = y.path AND x.neighbour < y.neighbour JOIN v v1 ON v1.path = x.neighbour JOIN v v2 ON v2.path = y.neighbour GROUP BY x.path) ;; SELECT s.path AS a, round((s.s + q.s) / 6, 6) AS sim FROM s JOIN q ON s.path = q.path WHERE (s.s + q.s) / 6 > 0.3", "knn", "v")
+@query("k AS (SELECT path, neighbour, greatest(0, sim) AS sim FROM knn WHERE rank <= 3), s AS (SELECT path, sum(sim) AS s, count(*) AS n FROM k GROUP BY path), q AS (SELECT x.path, sum(greatest(0, list_cosine_similarity(v1.e, v2.e))) AS s FROM k x JOIN k y ON x.path = y.path AND x.neighbour < y.neighbour JOIN v v1 ON v1.path = x.neighbour JOIN v v2 ON v2.path = y.neighbour GROUP BY x.path) ;; SELECT s.path AS a, round((s.s + q.s) / 6, 6) AS sim FROM s JOIN q ON s.path = q.path WHERE (s.s + q.s) / 6 > 0.65", "knn", "v")
 def concept_cluster(c: Corpus) -> DataFrame:
-    return tight_groups(c, 0.3)
+    return tight_groups(c)
 
 
 def tight_groups(c: Corpus, least: float = HIGH) -> DataFrame:
     """A note and its three nearest whose six similarities are high on average."""
-    k = K.nearest(c.vectors, 3)
+    k = K.nearest(c.vectors, 3).withColumn("sim", F.greatest("sim", F.lit(0.0)))
     x, y = (k.select(F.col("path").alias("a"), F.col("neighbour").alias(s)) for s in ("x", "y"))
-    q = K.similarity(x.join(y, "a").where("x < y"), c.vectors, "x", "y", clip=False).groupBy("a").agg(F.sum("sim").alias("q"))
+    q = K.similarity(x.join(y, "a").where("x < y"), c.vectors, "x", "y").groupBy("a").agg(F.sum("sim").alias("q"))
     s = k.groupBy(F.col("path").alias("a")).agg(F.sum("sim").alias("s"))
     return s.join(q, "a").withColumn("sim", (F.col("s") + F.col("q")) / 6).where(F.col("sim") > least).select("a", F.round("sim", 6).alias("sim"))
 
@@ -343,11 +342,11 @@ def dialectic_triad(c: Corpus) -> DataFrame:
     return far.select(F.col("path").alias("a"), F.col("neighbour").alias("b"))
 
 
-@query("o AS (SELECT path, target_path AS b FROM outgoing WHERE position < 3 UNION SELECT path, neighbour FROM knn WHERE rank <= 5) ;; SELECT path AS a, b FROM o WHERE path <> b AND path NOT LIKE 'geist journal/%' AND b NOT LIKE 'geist journal/%'", "outgoing", "knn")
+@query("o AS (SELECT path, target_path AS b FROM outgoing WHERE position < 3 UNION SELECT path, neighbour FROM knn WHERE rank <= 5) ;; SELECT path AS a, b FROM o WHERE path <> b AND path NOT LIKE 'session journal/%' AND b NOT LIKE 'session journal/%'", "outgoing", "knn")
 def method_scrambler(c: Corpus) -> DataFrame:
     out = L.outgoing(c.notes, c.links).where("position < 3").select(F.col("path").alias("a"), F.col("target_path").alias("b"))
     both = out.unionByName(near(c, 5).select("a", "b")).distinct()
-    return both.where("a <> b AND a NOT LIKE 'geist journal/%' AND b NOT LIKE 'geist journal/%'")
+    return both.where("a <> b AND a NOT LIKE 'session journal/%' AND b NOT LIKE 'session journal/%'")
 
 
 @query()
@@ -386,7 +385,7 @@ def antithesis_generator(c: Corpus) -> DataFrame:
     marked = F.when(F.lower("title").rlike("anti|contra"), 2).otherwise(0)
     b = of(c, "b", n=hits(F.col("text"), NEGATIONS) + marked).where("b_n >= 2")
     d = near(c, 20).join(b, "b").groupBy("a").agg(F.min_by("b", "rank").alias("b"))
-    return a.join(d, "a", "left").select("a", "b", F.col("a_n").alias("claims"))
+    return a.join(d, "a", "left").select("a", "b", F.col("a_n").cast("int").alias("claims"))
 
 
 @query()
@@ -401,7 +400,7 @@ def assumption_challenger(c: Corpus) -> DataFrame:
 
 @query()
 def columbo(c: Corpus) -> DataFrame:
-    return contradictions(c, 0.2, 1)
+    return contradictions(c)
 
 
 def contradictions(c: Corpus, least: float = HIGH, many: int = 2) -> DataFrame:
@@ -424,8 +423,18 @@ def scale_shifter(c: Corpus) -> DataFrame:
 
 @query()
 def pattern_finder(c: Corpus) -> DataFrame:
-    """Phrases of three notes or more, and alike notes without a link."""
-    return X.phrases(c.own_notes).where("notes >= 3").select("phrase", "n", "notes")
+    """Phrases that stand three times or more in notes that are not linked with another one that has them."""
+    return X.shared_phrases(c.own_notes, c.edges)
+
+
+@query()
+def pattern_groups(c: Corpus) -> DataFrame:
+    """Notes with up to four nearest that are very much alike, two at least, none of them linked with another of these."""
+    g = near(c, 4).where(F.col("sim") > VERY_HIGH).groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("m")).where("size(m) >= 2")
+    g = g.select("a", F.concat(F.array("a"), "m").alias("m"))
+    x, y = (g.select("a", F.explode("m").alias(k)) for k in ("x", "y"))
+    tied = x.join(y, "a").where("x < y").join(c.edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").select("a").distinct()
+    return g.join(tied, "a", "left_anti").select("a", F.array_join("m", "|").alias("members"))
 
 
 def voiced(c: Corpus) -> DataFrame:
@@ -446,7 +455,7 @@ def self_and_other(c: Corpus) -> DataFrame:
 def sentence_variance(c: Corpus) -> DataFrame:
     d = voiced(c).where("mean_sentence_length > 5")
     s = F.broadcast(d.agg(F.avg("sentence_length_variance").alias("m"), F.stddev_pop("sentence_length_variance").alias("s"), F.count("*").alias("n")))
-    return one(d.join(s).where("n >= 10 AND sentence_length_variance > m + 2 * s").orderBy(F.desc("sentence_length_variance"), "path").limit(1), "sentence_length_variance")
+    return one(d.join(s).where("n >= 10 AND sentence_length_variance > m + 2 * s").orderBy(F.round("sentence_length_variance", 9).desc(), "path").limit(1), F.round("sentence_length_variance", 6).alias("sentence_length_variance"))
 
 
 @query()
@@ -455,12 +464,12 @@ def temporal_voice(c: Corpus) -> DataFrame:
     past, future = (L.sampled(d.where(F.col("orientation") == k), "path", n, SESSION).select("path") for k, n in (("past", 5), ("future", 20)))
     v = c.vectors.select("path", "embedding")
     k = K.best(v.join(past, "path", "left_semi"), v.join(future, "path", "left_semi"), 1)
-    return k.select(F.col("path").alias("a"), F.col("neighbour").alias("b"), "sim")
+    return k.select(F.col("path").alias("a"), F.col("neighbour").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query()
 def uncertainty_mapper(c: Corpus) -> DataFrame:
-    return one(voiced(c).where("hedging_ratio > 0.3").orderBy(F.round("hedging_ratio", 9).desc(), "path").limit(1), "hedging_ratio")
+    return one(voiced(c).where("hedging_ratio > 0.3").orderBy(F.round("hedging_ratio", 9).desc(), "path").limit(1), F.round("hedging_ratio", 6).alias("hedging_ratio"))
 
 
 @query()
@@ -468,43 +477,42 @@ def voice_absence(c: Corpus) -> DataFrame:
     """Kinds of voice that few notes speak in."""
     d = voiced(c).agg(F.count("*").alias("n"), F.avg((F.col("orientation") == "future").cast("int")).alias("future"), F.avg((F.col("orientation") == "past").cast("int")).alias("past"), F.avg((F.col("first_person_plural_freq") > 1.0).cast("int")).alias("we"), F.avg((F.col("question_density") > 0.5).cast("int")).alias("questions")).where("n >= 20")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("share"), F.lit(x).alias("least")) for k, x in (("future", 0.05), ("past", 0.05), ("we", 0.05), ("questions", 0.1))])
-    return d.select(F.inline(kinds)).where("share < least").select("kind", "share")
+    return d.select(F.inline(kinds)).where("share < least").select("kind", F.round("share", 6).alias("share"))
 
 
-def harvested(found: DataFrame, c: Corpus) -> DataFrame:
-    """What one note, drawn by the date, has."""
-    note = L.sampled(c.notes, "path", 1, SESSION).select("path")
-    return found.join(F.broadcast(note), "path", "left_semi").select(F.col("path").alias("a"), "item")
+def harvested(found: DataFrame) -> DataFrame:
+    """What each note has; a session shows one note's."""
+    return found.select(F.col("path").alias("a"), "item")
 
 
 @query()
 def question_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.questions(c.notes), c)
+    return harvested(X.questions(c.notes))
 
 
 @query()
 def quote_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.quotes(c.notes), c)
+    return harvested(X.quotes(c.notes))
 
 
 @query()
 def todo_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.todos(c.notes), c)
+    return harvested(X.todos(c.notes))
 
 
 @query()
 def claim_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.claims(c.notes), c)
+    return harvested(X.claims(c.notes))
 
 
 @query()
 def definition_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.definitions(c.notes), c)
+    return harvested(X.definitions(c.notes))
 
 
 @query()
 def hypothesis_harvester(c: Corpus) -> DataFrame:
-    return harvested(X.hypotheses(c.notes), c)
+    return harvested(X.hypotheses(c.notes))
 
 
 # sessions
@@ -526,13 +534,13 @@ def _near_pairs(c: Corpus, k: int) -> DataFrame:
 @query()
 def convergent_evolution(c: Corpus) -> DataFrame:
     p = L.unlinked(_near_pairs(c, 10), c.edges)
-    return pair(T.pair_trends(p, c.sessions).where(F.col("trend") > NOISE), "trend")
+    return pair(T.pair_trends(p, c.sessions).where(F.col("trend") > NOISE), F.round("trend", 6).alias("trend"))
 
 
 @query()
 def divergent_evolution(c: Corpus) -> DataFrame:
     p = L.outgoing(c.notes, c.links).where("position < 5").select(F.col("path").alias("a"), F.col("target_path").alias("b")).distinct()
-    return pair(T.pair_trends(p, c.sessions).where(F.col("trend") < -NOISE), "trend")
+    return pair(T.pair_trends(p, c.sessions).where(F.col("trend") < -NOISE), F.round("trend", 6).alias("trend"))
 
 
 @query()
@@ -542,14 +550,14 @@ def cyclical_thinking(c: Corpus) -> DataFrame:
 
 @query()
 def drift_velocity_anomaly(c: Corpus) -> DataFrame:
-    d = T.accelerating(c.sessions).join(near(c, 5).where(F.col("sim") > 0.2).groupBy(F.col("a").alias("path")).agg(F.min_by("b", "rank").alias("b")), "path")
-    return d.select(F.col("path").alias("a"), "b", "gain")
+    d = T.accelerating(c.sessions).join(near(c, 5).where(F.col("sim") > MODERATE).groupBy(F.col("a").alias("path")).agg(F.min_by("b", "rank").alias("b")), "path")
+    return d.select(F.col("path").alias("a"), "b", F.round("gain", 6).alias("gain"))
 
 
 @query()
 def hermeneutic_instability(c: Corpus) -> DataFrame:
     still = c.notes.where(ago("modified") > 60).select("path")
-    return one(T.instability(c.sessions).where("instability > 0.2").join(still, "path"), "instability")
+    return one(T.instability(c.sessions).where("instability > 0.2").join(still, "path"), F.round("instability", 6).alias("instability"))
 
 
 @query("x AS (SELECT path, e, lag(e) OVER (PARTITION BY path ORDER BY date) AS p, session_id FROM sv) ;; SELECT x.path AS a, round(1 - list_cosine_similarity(e, p), 6) AS drift, DATE '2024-07-01' - n.modified > 30 AS untouched FROM x JOIN notes n ON n.path = x.path WHERE session_id = 6 AND 1 - list_cosine_similarity(e, p) > 0.15", "sv", "notes")
@@ -565,7 +573,7 @@ def vocabulary_expansion(c: Corpus) -> DataFrame:
     w = Window.orderBy("date")
     r = s.withColumn("k", F.row_number().over(w)).withColumn("back", F.row_number().over(Window.orderBy(F.desc("date"))))
     d = r.agg(F.count("*").alias("n"), (F.avg(F.when(F.col("back") <= 2, F.col("coverage"))) / F.avg(F.when(F.col("k") <= 2, F.col("coverage")))).alias("ratio"))
-    return d.where("n >= 3 AND (ratio < 0.8 OR ratio > 1.2)")
+    return d.where("n >= 3 AND (ratio < 0.8 OR ratio > 1.2)").select("n", F.round("ratio", 6).alias("ratio"))
 
 
 @query()

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.functions import markdown as M
 from driftwell.operators import links as L
 from driftwell.sources import binding as B
 from driftwell.sources.vault import link_rows, tag_rows
@@ -32,7 +33,7 @@ class Corpus:
     @cached_property
     def own_notes(self) -> DataFrame:
         """Notes outside the journal folder."""
-        return self.notes.where(~F.col("path").startswith("geist journal/"))
+        return self.notes.where(~F.col("path").startswith(M.JOURNAL_DIR))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -66,11 +67,11 @@ class Corpus:
 DUCK = {
     "n0": f"SELECT doc_id, {B.PATH} AS path, {B.MARKUP} AS whole, DATE '{B.SESSION_DATE}' - CAST({B.AGE} AS INT) AS created, DATE '{B.SESSION_DATE}' - CAST({B.IDLE} AS INT) AS modified FROM documents",
     "notes": "SELECT doc_id, path, concat('Doc ', doc_id) AS title, substr(whole, length(concat('---', chr(10), 'title: Doc ', doc_id, chr(10), 'tags: [topic', doc_id % 7, ', area', doc_id % 3, ']', chr(10), '---', chr(10))) + 1) AS content, created, modified FROM n0",
-    "own": "SELECT * FROM notes WHERE path NOT LIKE 'geist journal/%'",
+    "own": "SELECT * FROM notes WHERE path NOT LIKE 'session journal/%'",
     "l0": r"SELECT path, unnest(x) AS m, generate_subscripts(x, 1) - 1 AS position FROM (SELECT path, regexp_extract_all(content, '!?\[\[[^\]|]+(?:\|[^\]]+)?\]\]') AS x FROM notes)",
     "l1": r"SELECT path, position, m, trim(regexp_extract(m, '\[\[([^\]|]+)', 1)) AS raw, trim(regexp_extract(m, '\|([^\]]+)\]\]', 1)) AS shown FROM l0",
     "links": r"SELECT path AS source_path, position, trim(split_part(split_part(raw, '^', 1), '#', 1)) AS target, CASE WHEN shown <> '' THEN shown END AS display_text, m LIKE '!%' AS is_embed, CASE WHEN raw LIKE '%^%' THEN regexp_extract(raw, '\^(.*)$', 1) END AS block_ref FROM l1 WHERE trim(split_part(split_part(raw, '^', 1), '#', 1)) <> ''",
-    "tags": r"SELECT DISTINCT path AS note_path, tag FROM (SELECT path, unnest(list_concat([concat('topic', doc_id % 7), concat('area', doc_id % 3)], regexp_extract_all(regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '`[^`\n]+`', '', 'g'), '#([a-zA-Z0-9_/-]+)', 1))) AS tag FROM notes)",
+    "tags": r"SELECT DISTINCT path AS note_path, tag FROM (SELECT path, unnest(list_concat([concat('topic', doc_id % 7), concat('area', doc_id % 3)], regexp_extract_all(regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '`[^`]+`', '', 'g'), '#([a-zA-Z0-9_/-]+)', 1))) AS tag FROM notes)",
     "forms": "SELECT DISTINCT path, unnest([path, regexp_replace(path, '\\.[^.]*$', ''), title]) AS form FROM notes",
     "claims": "SELECT path, unnest([1, 2, 3]) AS rank, unnest([path, regexp_replace(path, '\\.md$', ''), title]) AS form FROM notes",
     "resolver": "SELECT form, arg_min(path, printf('%d|%s', rank, path)) AS path FROM claims GROUP BY form",
@@ -79,7 +80,7 @@ DUCK = {
     "edges": "SELECT DISTINCT least(path, target_path) AS a, greatest(path, target_path) AS b FROM outgoing WHERE path <> target_path",
     "directed": "SELECT DISTINCT path AS a, target_path AS b FROM outgoing WHERE path <> target_path",
     "twoway": "SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges",
-    "v": "SELECT concat('doc/', vec_id, '.md') AS path, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings",
+    "v": "SELECT concat('doc/', vec_id, '.md') AS path, vec_id, label, list_transform(embedding, lambda x, i1: CAST(x AS DOUBLE) + CAST(0.35 AS DOUBLE) * ((vec_id % 12 * 31 + (i1 - 1) * 17) % 11 - 5) / CAST(5.0 AS DOUBLE)) AS e FROM embeddings",
     "cross_": "SELECT x.path AS a, y.path AS b, list_cosine_similarity(x.e, y.e) AS sim FROM v x, v y WHERE x.path <> y.path",
     "sims": "SELECT * FROM cross_ WHERE a < b",
     "knn": "SELECT * FROM (SELECT a AS path, b AS neighbour, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 12) DESC, b) AS rank FROM cross_) WHERE rank <= 10",
@@ -109,7 +110,7 @@ def duck(body: str, *names: str) -> str:
         add(name)
     more, _, last = body.rpartition(";;")
     ctes = [f"{n} AS MATERIALIZED ({DUCK[n]})" for n in order] + ([more.strip()] if more.strip() else [])
-    return (f"WITH {', '.join(ctes)} " if ctes else "") + last.strip()
+    return (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + last.strip()
 
 
 def query(sql: str | None = None, *names: str):  # noqa: ANN201

@@ -31,7 +31,10 @@ def statistics(c: Corpus, session: str = "2024-07-01") -> dict[str, object]:
     out |= C.shape(np.array([r["embedding"] for r in some], np.float64)) if some else {}
     labels = C.density_clusters(c.vectors)
     out |= C.entropy(C.sizes(labels)).first().asDict()
-    gaps = labels.where("cluster < 0").count()
-    out["gaps"], out["gap_pct"] = gaps, 100 * gaps / max(len(some), 1)
+    noise = labels.agg(F.count_if(F.col("cluster") < 0).alias("gaps"), F.count("*").alias("vectors")).first()
+    out["gaps"], out["gap_pct"] = noise["gaps"], 100 * noise["gaps"] / max(noise["vectors"], 1)
+    days = c.sessions.select("date").distinct().agg(F.count("*").alias("n"), F.datediff(F.max("date"), F.min("date")).alias("span")).first()
+    out["mean_gap_days"] = days["span"] / (days["n"] - 1) if days["n"] > 1 else None
+    out |= c.history.agg(F.count("*").alias("suggestions"), (F.count("*") / F.countDistinct("session_date")).alias("suggestions_per_session")).first().asDict()
     out["recommendations"] = recommendations({k: v for k, v in out.items() if isinstance(v, (int, float))})
     return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions import voice as V
@@ -16,7 +16,9 @@ from driftwell.operators import filters as S
 from driftwell.operators import knn as K
 from driftwell.operators import links as L
 from driftwell.plans import discovery
-from driftwell.plans.registry import Corpus
+from driftwell.plans.grammars import ready
+from driftwell.plans.registry import QUERIES, Corpus
+from driftwell.sources import sinks
 
 SHOWN = 3
 #: A query that fails so often in a row is not run any more.
@@ -112,6 +114,17 @@ class Status:
         self.failures.pop(name, None)
         self.errors.pop(name, None)
 
+    def save(self, spark: SparkSession, root: str) -> None:
+        """Replace what ``root`` holds: a row a query."""
+        rows = [(k, n, self.disabled(k), self.errors.get(k)) for k, n in sorted(self.failures.items())]
+        table = spark.createDataFrame(rows, "query_id string, failure_count int, disabled boolean, last_error string")
+        table.withColumn("updated", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(root)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Status:
+        rows = spark.read.parquet(root).collect()
+        return cls({r["query_id"]: r["failure_count"] for r in rows}, {r["query_id"]: r["last_error"] for r in rows if r["last_error"]})
+
 
 def run_query(c: Corpus, name: str, f: Callable[[Corpus], DataFrame], seed: str, status: Status, timeout: float = 30.0) -> list | None:
     """A query's suggestions, or none if it fails, is disabled or takes too long; its jobs are cancelled then."""
@@ -134,13 +147,64 @@ def run_query(c: Corpus, name: str, f: Callable[[Corpus], DataFrame], seed: str,
         sc.removeJobTag(tag)
 
 
-def invoke(c: Corpus, names: list[str] | None = None, session: str = "2024-07-01", count: int = 5, full: bool = False, status: Status | None = None, limits: S.Limits = S.Limits(), timeout: float = 30.0) -> DataFrame:
-    """Suggestions of the named queries in order, filtered and selected: (ord, text, notes, query_id, title)."""
+def every_query() -> dict[str, Callable[[Corpus], DataFrame]]:
+    """The discovery queries by name."""
+    return {k: f for k, f in vars(discovery).items() if k in QUERIES and callable(f)}
+
+
+def invoke(
+    c: Corpus, names: list[str] | None = None, session: str = "2024-07-01", count: int = 5, full: bool = False, status: Status | None = None, limits: S.Limits = S.Limits(), timeout: float = 30.0,
+    excluded: tuple[str, ...] = (), embed: Callable[[DataFrame], DataFrame] | None = None, grammars: list[str] | None = None, history_root: str | None = None, journal: str | None = None,
+) -> DataFrame:
+    """Suggestions of the named queries and grammars (all queries and no grammar if none are named), filtered and selected:
+    (ord, text, notes, query_id, title).
+
+    ``embed`` gives suggestions (ord, text) their vectors (ord, embedding); novelty and diversity then go by these, and
+    without it by equal texts. A step of ``limits.strategies`` that is not known raises. What is selected is appended to
+    ``history_root`` and written as a note to the folder ``journal``, if these are given.
+    """
     status, seed = status or Status(), session.replace("-", "")
-    every = {k: f for k, f in vars(discovery).items() if callable(f) and getattr(f, "__module__", "") == discovery.__name__ and k in (names or ())}
-    rows = [r for k in names or sorted(every) if k in every for r in run_query(c, k, every[k], seed, status, timeout) or ()]
-    table = [(i, r["text"], list(r["notes"]), r["query_id"], r["title"]) for i, r in enumerate(rows)]
+    every = every_query()
+    unknown = [k for k in names or () if k not in every]
+    if unknown:
+        raise ValueError(f"no such queries: {unknown}")
+    rows = [tuple(r) for k in names or sorted(every) for r in run_query(c, k, every[k], seed, status, timeout) or ()]
+    for g in grammars or ():
+        rows += [(text, notes, g, None) for text, notes in ready(g).suggest(functions(c, seed), int(seed))]
+    table = [(i, text, list(notes), name, title) for i, (text, notes, name, title) in enumerate(rows)]
     s = c.spark.createDataFrame(table, "ord bigint, text string, notes array<string>, query_id string, title string")
-    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"boundary": lambda x: S.boundary(x, c.notes), "novelty": lambda x: S.novelty_text(x, c.history, session, limits), "quality": lambda x: S.quality(x, limits)}
-    s = reduce(lambda x, k: steps[k](x) if k in steps else x, limits.strategies, s)
-    return S.select(s, count, seed, full)
+
+    def novelty(x: DataFrame) -> DataFrame:
+        x = S.novelty_text(x, c.history, session, limits)
+        if embed is None:
+            return x
+        past = S.recent(c.history, session, limits.novelty_days).select(F.xxhash64("text").alias("ord"), "text").distinct()
+        new, old = (embed(d.select("ord", "text")).select(F.concat(F.lit(k), F.col("ord").cast("string")).alias("path"), "embedding") for k, d in (("", x), ("past ", past)))
+        return S.novelty_vectors(x, new, old, limits)
+
+    def diversity(x: DataFrame) -> DataFrame:
+        if embed is None:
+            first = x.groupBy("text").agg(F.min("ord").alias("ord"))
+            return x.join(first.select("ord"), "ord", "left_semi")
+        return S.diversity(x.join(embed(x.select("ord", "text")).select("ord", "embedding"), "ord"), limits).drop("embedding")
+
+    steps: dict[str, Callable[[DataFrame], DataFrame]] = {"boundary": lambda x: S.boundary(x, c.notes, excluded), "novelty": novelty, "diversity": diversity, "quality": lambda x: S.quality(x, limits)}
+    odd = [k for k in limits.strategies if k not in steps]
+    if odd:
+        raise ValueError(f"no such filters: {odd}")
+    s = S.select(reduce(lambda x, k: steps[k](x), limits.strategies, s), count, seed, full)
+    if history_root:
+        sinks.append_history(s, history_root, session)
+    if journal:
+        sinks.write_journal(s, journal, session)
+    return s
+
+
+def trial(c: Corpus, names: list[str] | None = None, session: str = "2024-07-01", timeout: float = 30.0) -> dict[str, tuple[int, float, str | None]]:
+    """Each query on its own, without filters: how many suggestions it gives, in how many seconds, and its error."""
+    status, out = Status(), {}
+    for name, f in every_query().items():
+        if names is None or name in names:
+            rows = run_query(c, name, f, session.replace("-", ""), status, timeout)
+            out[name] = (len(rows or ()), round(status.seconds[name], 3), status.errors.get(name))
+    return out

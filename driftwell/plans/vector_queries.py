@@ -168,7 +168,7 @@ def silhouette(c: Corpus) -> DataFrame:
 
 @query()
 def cluster_terms(c: Corpus) -> DataFrame:
-    return C.label_words(c.notes, c.vectors.select("path", F.col("label").alias("cluster")))
+    return C.label_words(c.notes, c.vectors.select("path", F.col("label").alias("cluster"))).withColumns(R6("score"))
 
 
 @query()

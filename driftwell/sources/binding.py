@@ -26,10 +26,17 @@ MARKUP = f"""concat(
  CASE WHEN doc_id % 11 = 4 THEN concat('I think we might perhaps be going to change my plan. It was said and had gone.', {NL}) ELSE '' END,
  CASE WHEN doc_id % 12 = 5 THEN concat('Research shows that item ', doc_id, ' is important because it will matter.', {NL}) ELSE '' END,
  CASE WHEN doc_id % 13 = 6 THEN concat('Item', doc_id, ' is defined as a thing of number ', doc_id, '.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 3 = 1 THEN concat('Under [[Doc ', doc_id % 5, ']].', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 16 = 9 THEN concat('Obviously and clearly, all must always change because of this; it should, and therefore it leads to more, thus it stays. Certainly.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 16 = 13 THEN concat('Maybe and perhaps it might be unclear, but it cannot, and never did, except where no one looks; debatable.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 16 = 5 THEN concat('A general theory of structure, a principle and an abstract framework.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 16 = 1 THEN concat('An actual, practical example of a particular case, in real detail. We will build it, and we shall go on; our plan will hold.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 16 = 2 THEN concat('- Which item, ', doc_id, ', comes first?', {NL}, '**Term', doc_id, '**: the meaning given here.', {NL}, 'If it holds then we would see www.example.org/a in `two', {NL}, 'lines` of code.', {NL}) ELSE '' END,
+ CASE WHEN doc_id % 40 = 8 THEN concat('Kin: [[Doc ', doc_id + 12, ']], [[Doc ', doc_id + 24, ']], [[Doc ', doc_id + 36, ']].', {NL}) ELSE '' END,
  CASE WHEN doc_id % 14 = 7 THEN concat('## 2024-01-', 10 + doc_id % 19, {NL}, 'entry one', {NL}, {NL}, '## 2024-02-', 10 + doc_id % 17, {NL}, 'entry two', {NL}) ELSE '' END,
  CASE WHEN doc_id % 15 = 8 THEN concat('```', {NL}, '#notatag code', {NL}, '```', {NL}, '`#alsonot`', {NL}) ELSE '' END)"""
-PATH = "concat(CASE WHEN doc_id % 50 = 49 THEN 'geist journal/' ELSE 'doc/' END, doc_id, '.md')"
-AGE, IDLE = "doc_id * 37 % 1100", "doc_id * 17 % 400"
+PATH = "concat(CASE WHEN doc_id % 50 = 49 THEN 'session journal/' ELSE 'doc/' END, doc_id, '.md')"
+AGE, IDLE = "CASE WHEN doc_id % 60 = 55 THEN doc_id % 83 ELSE doc_id % 12 * 91 + doc_id * 5 % 13 END", "CASE WHEN doc_id % 51 = 0 THEN 0 ELSE 1 + doc_id * 17 % 399 END"
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,16 +47,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", "path", M.title(content, F.col("path")).alias("title"), M.body(content).alias("content"), "created", "modified", F.lit(False).alias("is_virtual"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("date").alias("entry_date"), M.links(content).alias("links"), M.tags(content).alias("tags"))
 
 
+#: Vectors lean towards one of twelve directions, so that alike notes are as alike as those of a real corpus.
+GROUPED = "transform({x}, (x, i) -> CAST(x AS DOUBLE) + 0.35 * ((vec_id % 12 * 31 + i * 17) % 11 - 5) / 5.0D)"
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, label, embedding) of the current session, in double precision."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.select(F.concat(F.lit("doc/"), "vec_id", F.lit(".md")).alias("path"), "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return v.select(F.concat(F.lit("doc/"), "vec_id", F.lit(".md")).alias("path"), "vec_id", "label", F.expr(GROUPED.format(x="embedding")).alias("embedding"))
 
 
 #: Past sessions by number and date; each vector moves by a known step a session.
 SESSION_VALUES = ", ".join(f"({k}, DATE'{d}')" for k, d in enumerate(("2023-01-01", "2023-06-01", "2023-10-01", "2024-01-01", "2024-04-01", "2024-07-01"), 1))
 #: Element ``i`` of vector ``vec_id`` in session ``s``, from its current value ``x``; all cycle, some drift.
-MOVED = "x + CASE WHEN vec_id % 3 = 0 THEN 0.15 * (6 - {s}) * ((vec_id * 31 + i * 17) % 11 - 5) / 5.0 WHEN vec_id % 3 = 1 THEN 0.4 * ({s} % 2) * ((vec_id * 7 + i * 5) % 9 - 4) / 4.0 ELSE 0.01 * (6 - {s}) END"
+MOVED = "x + CASE WHEN vec_id % 3 = 0 THEN 0.3 * (6 - {s}) * ((vec_id * 31 + i * 17) % 11 - 5) / 5.0 WHEN vec_id % 3 = 1 THEN 0.8 * ({s} % 2) * ((vec_id * 7 + i * 5) % 9 - 4) / 4.0 ELSE 0.01 * (6 - {s}) END"
 
 
 def session_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,15 +24,32 @@ class JournalRules:
     exclude: tuple[str, ...] = ()
 
 
+def below(root: str) -> Column:
+    """A file's path below ``root``, from its metadata."""
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, rf"^.*?/{re.escape(base)}/", "")
+
+
+def note(notes: DataFrame, path: str) -> DataFrame:
+    """The note of that path, or no row."""
+    return notes.where(F.col("path") == path)
+
+
+def by_paths(notes: DataFrame, paths: list[str] | DataFrame) -> DataFrame:
+    """The notes of the given paths; a list of thousands or a table with ``path`` is joined, a short list pushed to the scan."""
+    if isinstance(paths, DataFrame):
+        return notes.join(paths.select("path").distinct(), "path", "left_semi")
+    if len(paths) <= 500:
+        return notes.where(F.col("path").isin(list(paths)))
+    return by_paths(notes, notes.sparkSession.createDataFrame([(p,) for p in paths], "path string"))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, file_mtime, modified) of every Markdown file below ``root``, one row a file."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    # the part below the root's own folder
-    path = F.regexp_replace(decoded, rf"^.*?/{re.escape(base)}/", "")
     when = F.col("_metadata.file_modification_time")
-    return raw.select(path.alias("path"), F.col("value").alias("content"), (F.unix_micros(when) / 1e6).alias("file_mtime"), when.alias("modified"))
+    return raw.select(below(root).alias("path"), F.col("value").alias("content"), (F.unix_micros(when) / 1e6).alias("file_mtime"), when.alias("modified"))
 
 
 def changed(files: DataFrame, known: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -16,7 +16,7 @@ def stream_notes(spark: SparkSession, root: str, out: str, checkpoint: str, rule
     """
     raw = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).schema("value string").load(root)
     when = F.col("_metadata.file_modification_time")
-    files = raw.select(F.regexp_replace(F.col("_metadata.file_path"), r"^.*/", "").alias("path"), F.col("value").alias("content"), (F.unix_micros(when) / 1e6).alias("file_mtime"), when.alias("modified"))
+    files = raw.select(vault.below(root).alias("path"), F.col("value").alias("content"), (F.unix_micros(when) / 1e6).alias("file_mtime"), when.alias("modified"))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         vault.parse(batch, rules).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
