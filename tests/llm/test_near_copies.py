@@ -93,6 +93,22 @@ def test_sketches_never_part_similar_sets():
         assert near_copies.least_difference(near_copies.sketch(a), near_copies.sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_likely_keeps_every_similar_pair_of_two_parts():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 5, 300, 505, 520, 1020, 1030, 2000):
+        base = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        sets += [base, base[: max(1, int(n * 0.9))], np.unique(np.append(base, rng.integers(-(1 << 62), 1 << 62, n // 5)))]
+    sets += [np.unique(rng.integers(-(1 << 62), 1 << 62, 400)) for _ in range(20)]
+    n = np.array([len(s) for s in sets])
+    part = rng.integers(0, 3, len(sets))
+    got = near_copies.likely(n, [near_copies.sketch(s) for s in sets], part)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near_copies.similar(np.array(len(np.intersect1d(sets[i], sets[j]))), n[i], n[j])]
+    assert len(pairs) >= 8
+    assert all(got[i] and got[j] for i, j in pairs if part[i] != part[j])
+    assert not got[-20:].any() and not near_copies.likely(n, [near_copies.sketch(s) for s in sets], np.zeros(len(sets), int)).any()
+
+
 def test_stage_drops_a_near_copy_that_differs_in_more_than_three_bits(spark):
     import corpus_pipeline
     from driftwell.llm import simhash
