@@ -1,12 +1,18 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
 
-Equal sets are one node. Shingles are put in one order for all texts, common ones last (counted in a sample, which decides
+Equal sets are one node. Each has a 64-bit fingerprint, the majority bits of its shingles. A tree deals the sets to leaves:
+a node holds a vantage point and a radius, or a bound on sizes, and what may be similar to sets of the other side goes to both.
+A node is split only where that saves comparisons; leaves are compared exhaustively, block by block. They return links that
+span the pairs within 1, 4, 7 bits and so on up to ``REACH``, and a link stays if its two sets are similar. At 0.8 fingerprints differ in 9.7
+bits on average, so some similar pairs lie beyond any radius that tells them from unrelated ones.
+
+These are found by shared shingles, and only where they would link two components of the links that stayed. Shingles are put in one order for all texts, common ones last (counted in a sample, which decides
 only the order, never the result). Two sets that are similar enough share a shingle among the first fifth of each, so only
 texts that share such a shingle are compared. Small groups give pairs of like size, which go on to their whole sets unless
 their sketches differ in more bits than similar sets can differ in members. Large groups are compared block by block in two
-steps: sketches tell which members may be similar to another one, and a pair of blocks of these returns links that span its
-similar pairs. This is done for each set's largest group first; of the other groups only what may link two components of
-those links is compared again. Links are closed to components by star contraction.
+steps: sketches tell which members may be similar to one of another component, and a pair of blocks of these returns links that
+span its similar pairs. This is done for each set's largest group first; of the other groups only what may link two components
+of all links so far is compared again. Links are closed to components by star contraction.
 """
 
 from __future__ import annotations
@@ -20,11 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.base import byte_rows, pieces
-from driftwell.llm.simhash import PIECE, shingle_hashes
+from driftwell.llm.simhash import PIECE, distance, majorities, shingle_hashes
 from driftwell.operators.components import connected_components
-from driftwell.storage import broadcast_checked, stash
+from driftwell.storage import broadcast_checked, drop_stash, stash
 
 WIDTH = 5
+#: Fingerprints are looked for within so many bits. This decides which path finds a pair, never whether it is found.
+REACH, STEP = 13, 3
+#: The tree is fitted on about so many sets at most, all are dealt by it; larger leaves are compared by blocks of so many.
+FITTED, LEAF = 20_000, 16_384
+#: Vantage points tried for a node, the least share of its comparisons that a split must save, and fingerprints compared at a time.
+TRIES, SAVED, CELLS = 6, 0.1, 1 << 18
 #: The sample that finds common shingles: so many documents and one in ``SHARE`` at least, so that groups of shingles it
 #: misses do not grow with the input; those in which one is common, and how many of the commonest count.
 SAMPLE, SHARE, COMMON, MOST_COMMON = 5_000, 8, 3, 200_000
@@ -91,18 +103,20 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_keys(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(doc_id, t, key, n, bits, first): the text's hash, its set's key, size and sketch, and the set's first shingles."""
+    """(doc_id, t, key, n, fp, bits, first): the text's hash, its set's key, size, fingerprint and sketch, and its first shingles."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 2, PIECE):
                 sets = shingle_sets(byte_rows(piece.column(2)))
                 first = pa.array([leading(s, common, rank) for s in sets], pa.list_(pa.int64()))
-                more = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), first]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *more], names=["doc_id", "t", "key", "n", "bits", "first"])
+                n = np.array([len(s) for s in sets], np.int64)
+                fp = majorities(np.concatenate(sets).view(np.uint64), n).view(np.int64)
+                more = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array(n), pa.array(fp), pa.array([sketch(s) for s in sets], pa.binary()), first]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *more], names=["doc_id", "t", "key", "n", "fp", "bits", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(keyed, f"doc_id {kind}, t bigint, key bigint, n bigint, bits binary, first array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(keyed, f"doc_id {kind}, t bigint, key bigint, n bigint, fp bigint, bits binary, first array<bigint>")
 
 
 def sets_of(docs: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
@@ -212,40 +226,205 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return stash(dealt.groupBy("h", "i", "j").applyInArrow(_likely, "h bigint, i int, j int, key bigint"), "near-copies-likely")
 
 
-def near_copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) of keys that span all pairs of similar sets."""
+def choose_split(fp: np.ndarray, n: np.ndarray, rng: np.random.Generator, reach: int) -> tuple[int | None, int] | None:
+    """A vantage point and radius, or None and a bound on sizes: that which leaves the least comparisons, if it saves enough."""
+    best, least = None, 1 - SAVED
+    sizes = np.sort(n)
+    for bound in np.unique(sizes[np.linspace(0, len(sizes) - 1, 33).astype(np.int64)]).tolist():
+        low, high = np.searchsorted(4 * sizes, 5 * bound, side="right"), len(sizes) - np.searchsorted(sizes, bound, side="right")
+        if (left := (low / len(n)) ** 2 + (high / len(n)) ** 2) < least:
+            best, least = (None, bound), left
+    for v in rng.choice(fp, min(TRIES, len(fp)), replace=False):
+        within = np.cumsum(np.bincount(distance(fp, v), minlength=65 + reach)) / len(fp)
+        left = within[reach : 65 + reach] ** 2 + (1 - within[:65]) ** 2
+        if left.min() < least:
+            best, least = (int(v), int(left.argmin())), left.min()
+    return best
+
+
+def sides(split: tuple[int | None, int], fp: np.ndarray, n: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets go to each side; two that are within reach and of like size are on one side together at least."""
+    if split[0] is None:
+        return 4 * n <= 5 * split[1], n > split[1]
+    d = distance(fp, np.uint64(split[0]))
+    return d <= split[1] + reach, d > split[1]
+
+
+def grow(fp: np.ndarray, n: np.ndarray, leaf: int, reach: int) -> list[tuple[tuple[int | None, int], int, int]]:
+    """The tree as rows (split, inner, outer); children below zero are leaves -1 - child."""
+    rng, nodes, leaves = np.random.default_rng(1), [], 0
+
+    def build(fp: np.ndarray, n: np.ndarray) -> int:
+        nonlocal leaves
+        split = choose_split(fp, n, rng, reach) if len(fp) > leaf else None
+        if split is None:
+            leaves += 1
+            return -leaves
+        at = len(nodes)
+        nodes.append(None)
+        inner, outer = (build(fp[x], n[x]) for x in sides(split, fp, n, reach))
+        nodes[at] = (split, inner, outer)
+        return at
+
+    build(fp, n)
+    return nodes
+
+
+def deal(nodes: list[tuple[tuple[int | None, int], int, int]], fp: np.ndarray, n: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves and the indexes of the sets that belong to them, boundary ones in more than one."""
+    stack = [(0 if nodes else -1, np.arange(len(fp)))]
+    while stack:
+        node, rows = stack.pop()
+        if node < 0:
+            yield -1 - node, rows
+        elif len(rows):
+            split, inner, outer = nodes[node]
+            stack += [(child, rows[x]) for child, x in zip((inner, outer), sides(split, fp[rows], n[rows], reach), strict=True)]
+
+
+def near(fp: np.ndarray, n: np.ndarray, block: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of like size that span all such pairs within reach, and within ``STEP`` bits less, and so on, so that a
+    pair that is only near by chance parts none that are nearer; of two blocks, the pairs across them."""
+    order = np.argsort(n, kind="stable")
+    fp, n, block = fp[order], n[order], block[order]
+    two, nearest, i = len(n) and block.min() < block.max(), np.full(len(n), 255, np.uint8), 0
+    stop = np.searchsorted(4 * n, 5 * n, side="right")
+    while i < len(n):
+        k = min(len(n), i + max(1, CELLS // int(stop[min(len(n) - 1, i + 255)] - i)), i + 256)
+        to = int(stop[k - 1])
+        d = distance(fp[i:k, None], fp[None, i:to])
+        rows, cols = np.nonzero(d <= reach)
+        yes = (cols > rows) & (cols + i < stop[rows + i])
+        if two:
+            yes &= block[rows + i] != block[cols + i]
+        rows, cols = rows[yes], cols[yes]
+        np.minimum.at(nearest, rows + i, d[rows, cols])
+        np.minimum.at(nearest, cols + i, d[rows, cols])
+        i = k
+    a, b = [], []
+    for within in range(reach, -1, -STEP):
+        _span(fp, n, np.flatnonzero(nearest <= within), within, a, b)
+    none = [np.zeros(0, np.int64)]
+    return order[np.concatenate(a + none)], order[np.concatenate(b + none)]
+
+
+def _span(fp: np.ndarray, n: np.ndarray, rest: np.ndarray, within: int, a: list[np.ndarray], b: list[np.ndarray]) -> None:
+    """Add links that span the pairs among ``rest``; each set reached is tied to the nearest of those that reach it."""
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            best, of = np.full(len(rest), 255, np.uint8), np.zeros(len(rest), np.int64)
+            for k in range(0, len(front), 64):
+                f = front[k : k + 64, None]
+                d = np.where((5 * n[f] >= 4 * n[rest]) & (5 * n[rest] >= 4 * n[f]), distance(fp[f], fp[rest]), 255).astype(np.uint8)
+                at = d.argmin(axis=0)
+                d = d[at, np.arange(len(rest))]
+                of = np.where(d < best, f[at, 0], of)
+                best = np.minimum(best, d)
+            hit = best <= within
+            a.append(of[hit])
+            b.append(rest[hit])
+            front, rest = rest[hit], rest[~hit]
+
+
+def fingerprint_pairs(sets: DataFrame, reach: int) -> DataFrame:
+    """Pairs (a, b) of keys that span all pairs of ``sets`` (key, n, fp) within ``reach`` bits and of like size."""
+    count = sets.count()
+    picked = sets.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FITTED / max(count, 1)))).select("key", "fp", "n").collect()
+    sample = np.array(sorted((r["key"], r["fp"], r["n"]) for r in picked), np.int64).reshape(-1, 3)
+    nodes = grow(sample[:, 1].copy().view(np.uint64), sample[:, 2], max(64, LEAF * len(sample) // max(count, 1)), reach)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, n = np.asarray(batch.column(1), np.int64), np.asarray(batch.column(2), np.int64)
+            for leaf, rows in deal(nodes, fp.view(np.uint64), n, reach):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), *(x.take(pa.array(rows)) for x in batch.columns)], names=["leaf", "key", "fp", "n"])
+
+    def searched(block: pa.Table) -> pa.Table:
+        key, fp, n, own = (np.asarray(block[c].combine_chunks(), np.int64) for c in ("key", "fp", "n", "own"))
+        a, b = near(fp.view(np.uint64), n, own, reach)
+        return pa.table({"a": pa.array(np.minimum(key[a], key[b]), pa.int64()), "b": pa.array(np.maximum(key[a], key[b]), pa.int64())})
+
+    leaves = stash(sets.select("key", "fp", "n").mapInArrow(dealt, "leaf bigint, key bigint, fp bigint, n bigint"), "near-copies-leaves")
+    blocks = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    met = leaves.join(broadcast_checked(blocks), "leaf").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("leaf", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "key", "fp", "n", "own")
+    pairs = stash(met.groupBy("leaf", "i", "j").applyInArrow(searched, "a bigint, b bigint").distinct(), "near-copies-near")
+    drop_stash(leaves)
+    return pairs
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow that they are similar."""
+    a, b = (sketches.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in ("a", "b"))
+    alike = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return stash(alike.mapInArrow(_possible, "a bigint, b bigint"), "near-copies-pairs")
+
+
+def _similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar."""
+    a, b = (whole.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_compared, "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
+    return stash(sets_of(docs, prints, keys.distinct()).dropDuplicates(["key"]), "near-copies-sets")
+
+
+def _sketches(prints: DataFrame, keys: DataFrame) -> DataFrame:
+    return stash(prints.select("key", "n", "bits").join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "near-copies-sketches")
+
+
+def fingerprint_links(docs: DataFrame, prints: DataFrame, reach: int | None = None) -> DataFrame:
+    """Links (a, b) of similar sets among those that span the pairs within ``reach`` bits."""
+    pairs = fingerprint_pairs(prints.select("key", "n", "fp").distinct(), REACH if reach is None else reach)
+    possible = _sketched(pairs, sketches := _sketches(prints, _ends(pairs)))
+    links = stash(_similar(possible, whole := _sets(docs, prints, _ends(possible))), "near-copies-links")
+    for x in (pairs, sketches, possible, whole):
+        drop_stash(x)
+    return links
+
+
+def shared_links(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and further ones, so that all span the pairs of similar sets: by shared shingles, across components of ``links``."""
+    parts = stash(connected_components(links).select("node", "component"), "near-copies-parts")
+
+    def parted(rows: DataFrame, key: str, part: str) -> DataFrame:
+        return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(part)), key, "left").withColumn(part, F.coalesce(part, key))
+
     rows = prints.select("key", "n", F.explode("first").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     met = stash(rows.join(often, "h", "left_semi").distinct(), "near-copies-met")
     counted = met.groupBy("h").agg(F.count("*").alias("m"))
     few = met.join(counted.where(F.col("m").between(2, SMALL)), "h", "left_semi")
-    pairs = few.select("h", F.col("key").alias("a"), F.col("n").alias("na")).join(few.select("h", F.col("key").alias("b"), F.col("n").alias("nb")), "h")
-    pairs = stash(pairs.where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct(), "near-copies-met-pairs")
-    many = stash(met.select("h", "key").join(counted.where(F.col("m") > SMALL), "h"), "near-copies-many")
-    ends = _ends(pairs).union(many.select("key")).distinct()
-    sketches = stash(prints.select("key", "n", "bits").join(ends, "key", "left_semi").dropDuplicates(["key"]), "near-copies-sketches")
-    a, b = (sketches.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in ("a", "b"))
-    alike = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    pairs = stash(alike.mapInArrow(_possible, "a bigint, b bigint"), "near-copies-pairs")
-    largest = many.groupBy("key").agg(F.max(F.struct("m", "h")).alias("of")).select(F.col("of.h").alias("h"), "key", F.col("key").alias("part"))
+    few = few.select("h", F.col("key").alias("a"), F.col("n").alias("na")).join(few.select("h", F.col("key").alias("b"), F.col("n").alias("nb")), "h")
+    few = few.where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    pairs = stash(parted(parted(few, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b"), "near-copies-met-pairs")
+    many = stash(parted(met.select("h", "key").join(counted.where(F.col("m") > SMALL), "h"), "key", "part"), "near-copies-many")
+    drop_stash(met)
+    sketches = _sketches(prints, _ends(pairs).union(many.select("key")))
+    possible = _sketched(pairs, sketches)
+    largest = many.groupBy("key", "part").agg(F.max(F.struct("m", "h")).alias("of")).select(F.col("of.h").alias("h"), "key", "part")
     first = _candidates(largest, sketches)
 
-    def sets(keys: DataFrame) -> DataFrame:
-        return stash(sets_of(docs, prints, keys.distinct()).dropDuplicates(["key"]), "near-copies-sets")
-
     def linked(candidates: DataFrame, whole: DataFrame) -> DataFrame:
         return candidates.join(whole, "key").groupBy("h", "i", "j").applyInArrow(_blocks, "a bigint, b bigint")
 
-    whole = sets(_ends(pairs).union(first.select("key")))
-    a, b = (whole.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
-    compared = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_compared, "a bigint, b bigint")
-    links = stash(compared.unionByName(linked(first, whole)), "near-copies-links")
+    whole = _sets(docs, prints, _ends(possible).union(first.select("key")))
+    links = stash(links.unionByName(_similar(possible, whole)).unionByName(linked(first, whole)), "near-copies-links")
+    for x in (parts, pairs, possible, whole):
+        drop_stash(x)
     if many.isEmpty():
         return links
-    parts = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    rest = many.join(parts, "key", "left").select("h", "key", F.coalesce("part", "key").alias("part"))
-    rest = _candidates(rest, sketches)
-    return links if rest.isEmpty() else links.unionByName(linked(rest, sets(rest.select("key"))))
+    parts = connected_components(links)
+    rest = _candidates(parted(many.select("h", "key"), "key", "part"), sketches)
+    return links if rest.isEmpty() else links.unionByName(linked(rest, _sets(docs, prints, rest.select("key"))))
+
+
+def near_copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) of keys that span all pairs of similar sets."""
+    return shared_links(docs, prints, fingerprint_links(docs, prints))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -59,8 +59,12 @@ def shingle_hashes(texts: list[bytes], width: int, seed: int = SEED) -> tuple[np
 
 def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The unsigned fingerprint of each text: a bit is set if over half of the shingles' hashes have it."""
-    h, shingles = shingle_hashes(texts, width, seed)
-    out = np.zeros(len(texts), np.uint64)
+    return majorities(*shingle_hashes(texts, width, seed))
+
+
+def majorities(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The bits that over half of each text's hashes have; ``shingles`` tells how many of ``h`` in turn are a text's."""
+    out = np.zeros(len(shingles), np.uint64)
     if not len(h):
         return out
     with_any = np.flatnonzero(shingles)

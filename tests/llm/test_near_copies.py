@@ -120,3 +120,43 @@ def test_stage_drops_a_near_copy_that_differs_in_more_than_three_bits(spark):
     assert len(a & b) >= 0.8 * len(a | b)
     docs = spark.createDataFrame([(1, " ".join(base), "s"), (2, " ".join(copy), "s")], SCHEMA)
     assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()] == [1]
+
+
+def test_fingerprint_tree_spans_every_pair_within_reach(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    size = rng.integers(1, 400, 60)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64)) for k in rng.integers(1, 12, 600)]
+    fp, n = np.repeat(base, 10) ^ np.array(flips, np.uint64), np.maximum(1, np.repeat(size, 10) + rng.integers(-9, 9, 600))
+    monkeypatch.setattr(near_copies, "CELLS", 500)
+    wide = near_copies.grow(fp, n, 40, 13)
+    narrow = near_copies.grow(base ^ np.uint64(1), np.full(60, 100), 8, 1)
+    assert wide and any(split[0] is None for split, _, _ in wide) and any(split[0] is not None for split, _, _ in narrow)
+    for nodes, sizes, reach in ((wide, n, 13), (narrow, np.full(600, 100), 1)):
+        label = list(range(600))
+        for _, rows in near_copies.deal(nodes, fp, sizes, reach):
+            own = rng.integers(0, 2, len(rows))
+            for block in (np.zeros(len(rows), int), own):
+                for a, b in zip(*near_copies.near(fp[rows], sizes[rows], block, reach), strict=True):
+                    i, j = rows[a], rows[b]
+                    assert int(fp[i] ^ fp[j]).bit_count() <= reach and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])
+                    old, new = label[i], label[j]
+                    label = [new if x == old else x for x in label] if old != new else label
+        pairs = [(i, j) for i in range(600) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= reach and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])]
+        assert pairs and all(label[i] == label[j] for i, j in pairs)
+
+
+def test_stage_gets_near_copies_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(changed(base, k, rng)) for base in ([rng.choice(WORDS) for _ in range(150)] for _ in range(12)) for k in (0, 1, 2)]
+    texts += [" ".join(rng.choice(WORDS) for _ in range(150)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    # without the path by shared shingles, which only adds what lies beyond the radius
+    monkeypatch.setattr(near_copies, "shared_links", lambda docs, prints, links: links)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 36, 3), *range(36, 56)]
+    # fingerprints of one's own sets decide: with a radius that finds nothing, all stay
+    monkeypatch.setattr(near_copies, "REACH", -1)
+    assert near_copies.drop_near_copies(docs).count() == len(texts)
