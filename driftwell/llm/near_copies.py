@@ -12,7 +12,7 @@ texts that share such a shingle are compared. Small groups give pairs of like si
 their sketches differ in more bits than similar sets can differ in members. Large groups are compared block by block in two
 steps: sketches tell which members may be similar to one of another component, and a pair of blocks of these returns links that
 span its similar pairs. This is done for each set's largest group first; of the other groups only what may link two components
-of all links so far is compared again. Links are closed to components by star contraction.
+of all links so far is compared again. Links are closed to components in one task if few, else by star contraction.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ SAMPLE, SHARE, COMMON, MOST_COMMON = 5_000, 8, 3, 200_000
 SMALL, BLOCK = 64, 1024
 #: Least and most bits of a set's sketch, the parities of its members by residue; between them, one or two a member.
 BITS, MOST_BITS = 512, 1 << 15
+#: Links that are closed to components in one task; more go through star contraction.
+CLOSED = 500_000
 #: Shingles that a block's matrix holds at a time, and rows of it that are judged at a time.
 COLUMNS, ROWS = 2048, 128
 
@@ -376,6 +378,34 @@ def _sketches(prints: DataFrame, keys: DataFrame) -> DataFrame:
     return stash(prints.select("key", "n", "bits").join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "near-copies-sketches")
 
 
+def closed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while len(a):
+        # the larger root of a link goes below the smaller one, then paths are cut short
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        np.minimum.at(least, high, low)
+        while not np.array_equal(up := least[least], least):
+            least = up
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[least]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of ``links`` (a, b): as ``connected_components``, in one task if there are few."""
+    if links.limit(CLOSED + 1).count() > CLOSED:
+        return connected_components(links)
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, component = closed(*(np.asarray(rows[c].combine_chunks(), np.int64) for c in ("a", "b")))
+        return pa.table({"node": pa.array(node, pa.int64()), "component": pa.array(component, pa.int64())})
+
+    return stash(links.where("a <> b").select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, "node bigint, component bigint"), "near-copies-components")
+
+
 def fingerprint_links(docs: DataFrame, prints: DataFrame, reach: int | None = None) -> DataFrame:
     """Links (a, b) of similar sets among those that span the pairs within ``reach`` bits."""
     pairs = fingerprint_pairs(prints.select("key", "n", "fp").distinct(), REACH if reach is None else reach)
@@ -388,7 +418,7 @@ def fingerprint_links(docs: DataFrame, prints: DataFrame, reach: int | None = No
 
 def shared_links(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
     """``links`` and further ones, so that all span the pairs of similar sets: by shared shingles, across components of ``links``."""
-    parts = stash(connected_components(links).select("node", "component"), "near-copies-parts")
+    parts = components(links)
 
     def parted(rows: DataFrame, key: str, part: str) -> DataFrame:
         return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(part)), key, "left").withColumn(part, F.coalesce(part, key))
@@ -413,11 +443,11 @@ def shared_links(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFr
 
     whole = _sets(docs, prints, _ends(possible).union(first.select("key")))
     links = stash(links.unionByName(_similar(possible, whole)).unionByName(linked(first, whole)), "near-copies-links")
-    for x in (parts, pairs, possible, whole):
+    for x in (pairs, possible, whole):
         drop_stash(x)
     if many.isEmpty():
         return links
-    parts = connected_components(links)
+    parts = components(links)
     rest = _candidates(parted(many.select("h", "key"), "key", "part"), sketches)
     return links if rest.isEmpty() else links.unionByName(linked(rest, _sets(docs, prints, rest.select("key"))))
 
@@ -434,7 +464,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     other. Columns are as they are.
     """
     prints = stash(with_keys(docs, *common_shingles(docs)), "near-copies")
-    parts = connected_components(near_copy_links(docs, prints))
+    parts = components(stash(near_copy_links(docs, prints), "near-copies-links"))
     classes = prints.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("least"))
     nodes = classes.join(parts, classes["key"] == parts["node"], "left").select("least", F.coalesce("component", "key").alias("root"))
     stay = nodes.groupBy("root").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("__dw_id"), F.col("least.t").alias("__dw_kept"))

@@ -160,3 +160,19 @@ def test_stage_gets_near_copies_by_fingerprints(spark, monkeypatch):
     # fingerprints of one's own sets decide: with a radius that finds nothing, all stay
     monkeypatch.setattr(near_copies, "REACH", -1)
     assert near_copies.drop_near_copies(docs).count() == len(texts)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_components_of_few_and_many_links(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "CLOSED", most)
+    rng = np.random.default_rng(6)
+    chain = [(k, k + 1) for k in range(-40, 0)]
+    links = [(int(a), int(b)) for a, b in rng.permutation(chain + [(5, 9), (9, 5), (7, 9), (3, 3), *rng.integers(100, 160, (40, 2)).tolist()])]
+    label = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in label:
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = near_copies.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert {r["node"]: r["component"] for r in got.collect()} == label
+    assert near_copies.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
