@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from driftwell.llm.base import byte_rows, pieces
 from driftwell.llm.simhash import PIECE, distance, majorities, shingle_hashes
 from driftwell.operators.components import connected_components
-from driftwell.storage import broadcast_checked, drop_stash, stash
+from driftwell.storage import broadcast_checked, drop_stash, in_few_tasks, stash
 
 WIDTH = 5
 #: Fingerprints are looked for within so many bits. This decides which path finds a pair, never whether it is found.
@@ -121,8 +121,8 @@ def with_keys(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(keyed, f"doc_id {kind}, t bigint, key bigint, n bigint, fp bigint, bits binary, first array<bigint>")
 
 
-def sets_of(docs: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles): the sets of ``keys`` (key), from one text of each, as bytes."""
+def sets_of(docs: DataFrame, prints: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    """(key, shingles): the sets of ``keys`` (key), from one text of each, as bytes; ``rows``: as many as there are prints."""
     one = prints.select("key", "t").join(keys, "key", "left_semi").groupBy("t").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("t").alias("t"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def sets_of(docs: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
                 sets = shingle_sets(byte_rows(piece.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
 
-    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(broadcast_checked(stash(one.select("t"), "near-copies-texts"), 1_000_000), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(broadcast_checked(stash(one.select("t"), "near-copies-texts", rows), 1_000_000), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
     return texts.select("text").mapInArrow(listed, "key bigint, shingles binary")
 
 
@@ -347,21 +347,21 @@ def fingerprint_pairs(sets: DataFrame, reach: int) -> DataFrame:
         a, b = near(fp.view(np.uint64), n, own, reach)
         return pa.table({"a": pa.array(np.minimum(key[a], key[b]), pa.int64()), "b": pa.array(np.maximum(key[a], key[b]), pa.int64())})
 
-    leaves = stash(sets.select("key", "fp", "n").mapInArrow(dealt, "leaf bigint, key bigint, fp bigint, n bigint"), "near-copies-leaves")
+    leaves = stash(sets.select("key", "fp", "n").mapInArrow(dealt, "leaf bigint, key bigint, fp bigint, n bigint"), "near-copies-leaves", count)
     blocks = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
     met = leaves.join(broadcast_checked(blocks), "leaf").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("leaf", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "key", "fp", "n", "own")
-    pairs = stash(met.groupBy("leaf", "i", "j").applyInArrow(searched, "a bigint, b bigint").distinct(), "near-copies-near")
+    pairs = stash(met.groupBy("leaf", "i", "j").applyInArrow(searched, "a bigint, b bigint").distinct(), "near-copies-near", count)
     drop_stash(leaves)
     return pairs
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, rows: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sketches allow that they are similar."""
     a, b = (sketches.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in ("a", "b"))
     alike = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return stash(alike.mapInArrow(_possible, "a bigint, b bigint"), "near-copies-pairs")
+    return stash(alike.mapInArrow(_possible, "a bigint, b bigint"), "near-copies-pairs", rows)
 
 
 def _similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -370,12 +370,12 @@ def _similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_compared, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
-    return stash(sets_of(docs, prints, keys.distinct()).dropDuplicates(["key"]), "near-copies-sets")
+def _sets(docs: DataFrame, prints: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    return stash(sets_of(docs, prints, keys.distinct(), rows).dropDuplicates(["key"]), "near-copies-sets", rows)
 
 
-def _sketches(prints: DataFrame, keys: DataFrame) -> DataFrame:
-    return stash(prints.select("key", "n", "bits").join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "near-copies-sketches")
+def _sketches(prints: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    return stash(prints.select("key", "n", "bits").join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "near-copies-sketches", rows)
 
 
 def closed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,9 +408,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def fingerprint_links(docs: DataFrame, prints: DataFrame, reach: int | None = None) -> DataFrame:
     """Links (a, b) of similar sets among those that span the pairs within ``reach`` bits."""
+    count = prints.count()
     pairs = fingerprint_pairs(prints.select("key", "n", "fp").distinct(), REACH if reach is None else reach)
-    possible = _sketched(pairs, sketches := _sketches(prints, _ends(pairs)))
-    links = stash(_similar(possible, whole := _sets(docs, prints, _ends(possible))), "near-copies-links")
+    possible = _sketched(pairs, sketches := _sketches(prints, _ends(pairs), count), count)
+    links = stash(_similar(possible, whole := _sets(docs, prints, _ends(possible), count)), "near-copies-links", count)
     for x in (pairs, sketches, possible, whole):
         drop_stash(x)
     return links
@@ -418,30 +419,30 @@ def fingerprint_links(docs: DataFrame, prints: DataFrame, reach: int | None = No
 
 def shared_links(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
     """``links`` and further ones, so that all span the pairs of similar sets: by shared shingles, across components of ``links``."""
-    parts = components(links)
+    parts, count = components(links), prints.count()
 
     def parted(rows: DataFrame, key: str, part: str) -> DataFrame:
         return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(part)), key, "left").withColumn(part, F.coalesce(part, key))
 
     rows = prints.select("key", "n", F.explode("first").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    met = stash(rows.join(often, "h", "left_semi").distinct(), "near-copies-met")
+    met = stash(rows.join(often, "h", "left_semi").distinct(), "near-copies-met", count)
     counted = met.groupBy("h").agg(F.count("*").alias("m"))
     few = met.join(counted.where(F.col("m").between(2, SMALL)), "h", "left_semi")
     few = few.select("h", F.col("key").alias("a"), F.col("n").alias("na")).join(few.select("h", F.col("key").alias("b"), F.col("n").alias("nb")), "h")
     few = few.where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
-    pairs = stash(parted(parted(few, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b"), "near-copies-met-pairs")
-    many = stash(parted(met.select("h", "key").join(counted.where(F.col("m") > SMALL), "h"), "key", "part"), "near-copies-many")
+    pairs = stash(parted(parted(few, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b"), "near-copies-met-pairs", count)
+    many = stash(parted(met.select("h", "key").join(counted.where(F.col("m") > SMALL), "h"), "key", "part"), "near-copies-many", count)
     drop_stash(met)
-    sketches = _sketches(prints, _ends(pairs).union(many.select("key")))
-    possible = _sketched(pairs, sketches)
+    sketches = _sketches(prints, _ends(pairs).union(many.select("key")), count)
+    possible = _sketched(pairs, sketches, count)
     largest = many.groupBy("key", "part").agg(F.max(F.struct("m", "h")).alias("of")).select(F.col("of.h").alias("h"), "key", "part")
     first = _candidates(largest, sketches)
 
     def linked(candidates: DataFrame, whole: DataFrame) -> DataFrame:
         return candidates.join(whole, "key").groupBy("h", "i", "j").applyInArrow(_blocks, "a bigint, b bigint")
 
-    whole = _sets(docs, prints, _ends(possible).union(first.select("key")))
+    whole = _sets(docs, prints, _ends(possible).union(first.select("key")), count)
     links = stash(links.unionByName(_similar(possible, whole)).unionByName(linked(first, whole)), "near-copies-links")
     for x in (pairs, possible, whole):
         drop_stash(x)
@@ -449,7 +450,7 @@ def shared_links(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFr
         return links
     parts = components(links)
     rest = _candidates(parted(many.select("h", "key"), "key", "part"), sketches)
-    return links if rest.isEmpty() else links.unionByName(linked(rest, _sets(docs, prints, rest.select("key"))))
+    return links if rest.isEmpty() else links.unionByName(linked(rest, _sets(docs, prints, rest.select("key"), count)))
 
 
 def near_copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -464,10 +465,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     other. Columns are as they are.
     """
     prints = stash(with_keys(docs, *common_shingles(docs)), "near-copies")
-    parts = components(stash(near_copy_links(docs, prints), "near-copies-links"))
+    count = prints.count()
+    parts = components(stash(near_copy_links(docs, prints), "near-copies-links", count))
     classes = prints.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("least"))
     nodes = classes.join(parts, classes["key"] == parts["node"], "left").select("least", F.coalesce("component", "key").alias("root"))
     stay = nodes.groupBy("root").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("__dw_id"), F.col("least.t").alias("__dw_kept"))
     hashed = docs.withColumn("__dw_t", F.xxhash64("text"))
     kept = hashed.join(stay, (hashed["doc_id"] == F.col("__dw_id")) & (hashed["__dw_t"] == F.col("__dw_kept")), "left_semi").dropDuplicates(["doc_id", "__dw_t"])
-    return kept.drop("__dw_t").unionByName(docs.where("doc_id is null"))
+    # a row of whole text counts as four
+    return in_few_tasks(kept.drop("__dw_t"), 4 * count).unionByName(docs.where("doc_id is null"))

@@ -14,20 +14,25 @@ import numpy as np
 SMALL = 400
 
 
+def places(n: int) -> type:
+    """The type of places in a text of so many characters: half as wide where it will do."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def classify(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour; the last one is."""
     n = len(t)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int64) - t[:-1].astype(np.int64))
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    step = np.ones(n, np.int8)
+    step[:-1] = (t[1:] > t[:-1]).view(np.int8) - (t[1:] < t[:-1]).view(np.int8)
+    at = np.arange(n, dtype=places(n))
+    at[step == 0] = n
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
 def _bucket_scan(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(len(t), -1, np.int64)
+    sa = np.full(len(t), -1, places(len(t)))
     n_seeds = np.bincount(t[seeds], minlength=len(counts))
     sa[np.repeat(ends - n_seeds - (np.cumsum(n_seeds) - n_seeds), n_seeds) + np.arange(len(seeds))] = seeds
     chars = np.flatnonzero(counts)
@@ -94,12 +99,14 @@ def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
     scan = _bucket_scan if alphabet <= SMALL else _plain_scan
     smaller, counts = classify(t), np.bincount(t, minlength=alphabet)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = lms.astype(places(len(t)))
     mark = np.zeros(len(t), bool)
     mark[lms] = True
     sa = scan(t, smaller, lms[np.argsort(t[lms], kind="stable")], counts)
     order = sa[mark[sa]]
+    del sa, mark
     # name equal substrings alike; each runs to the next leftmost-smaller position
-    stop = np.zeros(len(t), np.int64)
+    stop = np.zeros(len(t), places(len(t)))
     stop[lms] = np.append(lms[1:], len(t) - 1)
     a, b = order[:-1], order[1:]
     same = stop[a] - a == stop[b] - b
@@ -109,11 +116,14 @@ def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
         same[live[~equal]] = False
         live, k = live[equal], k + 1
         live = live[a[live] + k <= stop[a[live]]]
+    del stop, a, b
     name = np.append(0, np.cumsum(~same))
     if name[-1] + 1 < len(lms):
-        names = np.zeros(len(t), np.int64)
+        names, most = np.zeros(len(t), places(len(t))), int(name[-1])
         names[order] = name
-        order = lms[suffix_array(names[lms], int(name[-1]) + 1)]
+        names = names[lms]
+        del name, same, live, order
+        order = lms[suffix_array(names, most + 1)]
     return scan(t, smaller, order, counts)
 
 

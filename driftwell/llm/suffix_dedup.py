@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from driftwell.llm.base import byte_rows, pieces, table
-from driftwell.llm.sais import long_prefixes, suffix_array
+from driftwell.llm.sais import long_prefixes, places, suffix_array
 from driftwell.storage import stash
 
 LENGTH, GRAM = 100, 24
@@ -311,13 +311,15 @@ def _fetched(shards: int):  # noqa: ANN202
 def marked(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset) of every string that equals one in an earlier place; contexts stand end to end in ``data``."""
     n, total = len(sizes), int(sizes.sum())
-    t = np.zeros(total + n + 1, np.int64)
+    t = np.zeros(total + n + 1, np.int16)
     starts = np.cumsum(sizes) - sizes + np.arange(n)
-    owner = np.repeat(np.arange(n), sizes)
-    t[np.arange(total) + owner] = data.astype(np.int64) + 2
+    text = np.ones(len(t), bool)
+    text[starts + sizes] = text[-1] = False
+    t[text] = data.astype(np.int16) + 2
     t[(starts + sizes)] = 1
+    del text
     sa = suffix_array(t, 258)
-    before = np.full(len(t), -1, np.int64)
+    before = np.full(len(t), -1, places(len(t)))
     before[sa[1:]] = sa[:-1]
     runs = sizes - length + 1
     equal = np.zeros(len(t), bool)
@@ -325,12 +327,13 @@ def marked(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray, length: int =
     for k, common in enumerate(long_prefixes(t, before, starts, runs, length)):
         which = which[runs[which] > k]
         equal[starts[which] + k] = common >= length
+    del before
     # strings in suffix order: a group shares its first bytes
     offset = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
     home = np.repeat(np.arange(n), runs)
     valid = np.zeros(len(t), bool)
     valid[starts[home] + offset] = True
-    back = np.zeros(len(t), np.int64)
+    back = np.zeros(len(t), places(len(t)))
     back[starts[home] + offset] = np.arange(len(home))
     p = sa[valid[sa]]
     w = back[p]

@@ -176,3 +176,33 @@ def test_components_of_few_and_many_links(spark, monkeypatch, most):
     got = near_copies.components(spark.createDataFrame(links, "a bigint, b bigint"))
     assert {r["node"]: r["component"] for r in got.collect()} == label
     assert near_copies.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_stage_writes_small_tables_in_few_files(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        words = rng.choices(WORDS, k=60)
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(changed(words, 1, rng)), "a")]
+    files = {}
+
+    def stash(df, name, *more, write=near_copies.stash):
+        files[name] = max(files.get(name, 0), len((out := write(df, name, *more)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_copies, "stash", stash)
+    monkeypatch.setattr(near_copies, "drop_stash", lambda df: None)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        kept = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA))
+        assert kept.rdd.getNumPartitions() <= 8
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(expected(rows)[0].values())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # a core writes one file, or one for each part of a union
+    assert {"near-copies-near", "near-copies-sets", "near-copies-met", "near-copies-links"} <= set(files)
+    assert max(files.values()) <= 8, files

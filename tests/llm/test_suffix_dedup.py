@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -54,3 +55,19 @@ def test_text_beyond_a_piece(spark, monkeypatch):
     rows = [(1, long), (2, long[:3000] + noise(rng, 50) + long[:3000]), (3, noise(rng, 20) + long[-400:]), (4, "ab" * 700), (5, "é" * 400)]
     found = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id int, text string")).collect()
     assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in found} == brute(rows)
+
+
+def test_memory_of_a_shard():
+    rng = np.random.default_rng(5)
+    sizes = np.full(2000, 150)
+    data = rng.integers(97, 123, int(sizes.sum()), np.uint8)
+    data[-3000:] = data[:3000]
+    tracemalloc.start()
+    try:
+        which, offset = suffix_dedup.marked(sizes, data, np.arange(len(sizes)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(which.tolist(), offset.tolist(), strict=True)) == [(k, x) for k in range(1980, 2000) for x in range(51)]
+    # two workers of an executor search shards of several MB at a time
+    assert peak < 70 * len(data)
