@@ -19,6 +19,10 @@ DEFINITIONS = (r"(?mi)^([^.\n]+?)\s+is\s+(?:defined as|a|an)\s+([^.\n]+\.?)", r"
 JOINTS = (" is ", ": ", " means ", " refers to ")
 CLAIMS = (r"(?i)[^.\n]*?\b(?:shows?|proves?|demonstrates?|establishes?|confirms?)\b[^.\n]+\.", r"(?i)(?:Research|Studies|Evidence|Data)\s+(?:shows?|suggests?|indicates?)[^.\n]+\.", r"(?i)[^.\n]+?\b(?:causes?|leads to|results in)\b[^.\n]+\.")
 HYPOTHESES = (r"(?i)If\s+[^.\n]+?,?\s+then\s+[^.\n]+\.", r"(?i)[^.\n]+?\b(?:may|might|could)\b[^.\n]+\.", r"(?i)[^.\n]+?\bwould\b[^.\n]+if[^.\n]+\.")
+# The patterns whose match is always a whole run of text up to its full stop, by what the run must hold. Read as they stand they
+# try every place of a run again, which is quadratic in a long text without full stops; runs are cut and tested once instead.
+RUN = r"[^.\n]++\.?"
+CLAIM_RUNS = {0: r"(?i)\b(?:shows?|proves?|demonstrates?|establishes?|confirms?)\b[^.\n]+\.", 2: r"(?i)(?<=[^.\n])\b(?:causes?|leads to|results in)\b[^.\n]+\."}
 TODO = r"(?i)(TODO|FIXME|HACK|NOTE|XXX):\s*([^.\n]+(?:\.[^\n]+)?)"
 PLACEHOLDERS = ("add content", "write this", "fill in", "update")
 COMMON = ("the", "and", "but", "with", "from", "this", "that")
@@ -32,11 +36,18 @@ def _unique(found: DataFrame, shortest: int, longest: int, extra: Column | None
     return d.groupBy("path", F.lower("item").alias("k")).agg(F.min(F.struct("position", "item")).alias("m")).select("path", "m.position", "m.item")
 
 
-def _matches(notes: DataFrame, patterns: tuple[str, ...], groups: tuple[int, ...] | None = None, shown=None) -> DataFrame:  # noqa: ANN001
-    text = M.without_code(F.col("content"))
-    arrays = [F.regexp_extract_all(text, F.lit(p), F.lit(k)) for p, k in zip(patterns, groups or (0,) * len(patterns), strict=True)]
-    found = F.flatten(F.array(*arrays))
-    return notes.select("path", F.posexplode(found if shown is None else F.transform(found, shown)).alias("position", "item"))
+def _matches(notes: DataFrame, patterns: tuple[str, ...], groups: tuple[int, ...] | None = None, runs: dict[int, str] | None = None) -> DataFrame:
+    """(path, position, item): all matches of each pattern in turn; ``runs`` are those that are read run by run."""
+    d, runs = notes.select("path", M.without_code(F.col("content")).alias("text")), runs or {}
+    whole = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
+
+    def found(n: int, pattern: str, group: int) -> Column:
+        if n not in runs:
+            return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+        return F.filter(whole, lambda r: r.endswith(".") & r.rlike(runs[n]))
+
+    arrays = [found(n, p, k) for n, (p, k) in enumerate(zip(patterns, groups or (0,) * len(patterns), strict=True))]
+    return d.select("path", F.posexplode(F.flatten(F.array(*arrays))).alias("position", "item"))
 
 
 def questions(notes: DataFrame, shortest: int = 10, longest: int = 500) -> DataFrame:
@@ -55,7 +66,7 @@ def definitions(notes: DataFrame, shortest: int = 15, longest: int = 300) -> Dat
 
 
 def claims(notes: DataFrame, shortest: int = 20, longest: int = 300) -> DataFrame:
-    return _unique(_matches(notes, CLAIMS), shortest, longest)
+    return _unique(_matches(notes, CLAIMS, runs=CLAIM_RUNS), shortest, longest)
 
 
 def hypotheses(notes: DataFrame, shortest: int = 20, longest: int = 300) -> DataFrame:
