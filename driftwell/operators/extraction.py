@@ -23,6 +23,7 @@ HYPOTHESES = (r"(?i)If\s+[^.\n]+?,?\s+then\s+[^.\n]+\.", r"(?i)[^.\n]+?\b(?:may|
 # try every place of a run again, which is quadratic in a long text without full stops; runs are cut and tested once instead.
 RUN = r"[^.\n]++\.?"
 CLAIM_RUNS = {0: r"(?i)\b(?:shows?|proves?|demonstrates?|establishes?|confirms?)\b[^.\n]+\.", 2: r"(?i)(?<=[^.\n])\b(?:causes?|leads to|results in)\b[^.\n]+\."}
+HYPOTHESIS_RUNS = {1: r"(?i)(?<=[^.\n])\b(?:may|might|could)\b[^.\n]+\.", 2: r"(?i)^(?>[^.\n]+?\bwould\b)[^.\n]+if[^.\n]+\."}
 TODO = r"(?i)(TODO|FIXME|HACK|NOTE|XXX):\s*([^.\n]+(?:\.[^\n]+)?)"
 PLACEHOLDERS = ("add content", "write this", "fill in", "update")
 COMMON = ("the", "and", "but", "with", "from", "this", "that")
@@ -70,7 +71,7 @@ def claims(notes: DataFrame, shortest: int = 20, longest: int = 300) -> DataFram
 
 
 def hypotheses(notes: DataFrame, shortest: int = 20, longest: int = 300) -> DataFrame:
-    return _unique(_matches(notes, HYPOTHESES), shortest, longest)
+    return _unique(_matches(notes, HYPOTHESES, runs=HYPOTHESIS_RUNS), shortest, longest)
 
 
 def todos(notes: DataFrame) -> DataFrame:
