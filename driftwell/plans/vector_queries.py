@@ -57,8 +57,7 @@ def filter_dissimilar(c: Corpus) -> DataFrame:
 
 @query("SELECT a, b, round(sim, 6) AS sim FROM sims s WHERE sim > 0.5 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = s.a AND e.b = s.b) ORDER BY round(s.sim, 12) DESC, a, b LIMIT 20", "sims", "edges")
 def unlinked_pairs(c: Corpus) -> DataFrame:
-    p = L.unlinked(K.pairs_above(c.vectors, 0.5).where("sim > 0.5"), c.edges)
-    return p.orderBy(F.round("sim", 12).desc(), "a", "b").limit(20).withColumns(R6("sim"))
+    return K.best_unlinked(c.vectors, c.edges, 0.5, 20).withColumns(R6("sim"))
 
 
 @query("SELECT path, neighbour, round(sim, 6) AS sim FROM (SELECT a AS path, b AS neighbour, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 12), b) AS k FROM cross_) WHERE k <= 3", "cross_")
