@@ -50,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n{2,}"), F.btrim), lambda s: F.btrim(s, F.lit(" \t\n\r")) != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n{2,}"), lambda s: F.btrim(s)), lambda s: F.btrim(s, F.lit(" \t\n\r")) != "")
 
 
 def hedges(text: Column) -> Column:
